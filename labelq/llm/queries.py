@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from labelq.llm import mixing, urls
+from labelq.llm import mixing, secrets, simhash, urls
 
 QUERIES = {
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_simhash": simhash.op5_simhash,
     "op7_source_mix": mixing.op7_source_mix,
     "op8_url_filter": urls.op8_url_filter,
 }
 
-ORACLES = {"op7_source_mix": mixing.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLES = {"op4_secret_scan": secrets.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_url_filter": urls.ORACLE}
