@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from labelq.llm import mixing, secrets, simhash, urls
+from labelq.llm import media, mixing, secrets, simhash, urls
 
 QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash": simhash.op5_simhash,
     "op7_source_mix": mixing.op7_source_mix,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_media_columns": media.op9_media_columns,
 }
 
 ORACLES = {"op4_secret_scan": secrets.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_url_filter": urls.ORACLE}
