@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelq.llm import media, mixing, secrets, simhash, urls
+from labelq.llm import langid, media, mixing, secrets, simhash, urls
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash": simhash.op5_simhash,
     "op7_source_mix": mixing.op7_source_mix,
