@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelq.llm import decontam, langid, media, mixing, secrets, simhash, urls
+from labelq.llm import decontam, langid, media, mixing, secrets, simhash, substrings, urls
 
 QUERIES = {
+    "op10_substring_dedup": substrings.op10_substring_dedup,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_language_id": langid.op3_language_id,
     "op4_secret_scan": secrets.op4_secret_scan,
