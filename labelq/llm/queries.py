@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelq.llm import decontam, langid, lines, media, mixing, secrets, simhash, substrings, urls
+from labelq.llm import decontam, langid, lines, media, mixing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
     "op1_line_dedup": lines.op1_line_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op2_decontamination": decontam.op2_decontamination,
