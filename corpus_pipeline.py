@@ -1,13 +1,68 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark
+decontamination and source mixing, each over all that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``. The stages handle nulls, ties and empty tables as the operators'
+docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelq.llm import common, decontam, langid, lines, mixing, simhash
+
+#: Confidence below which a document has no language that can be told.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is told: neither ``und`` nor below LEAST_SCORE."""
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take duplicate lines out of the texts; a document that loses all it had goes.
+    n_chars becomes the length of what is left."""
+    found = lines.dedup_lines(docs).where("n_removed = 0 or trim(kept) <> ''")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    changed = F.col("n_removed") > 0
+    return found.select(*(F.when(changed, new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of linked fingerprints the document of smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of the benchmark."""
+    gone = decontam.find_contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with size, target of their source and
+    words taken; rows that share an id share the sum of their words."""
+    taken = mixing.mix_sources(docs).taken.groupBy(F.col("doc_id").alias("t_id")).agg(
+        F.sum("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0")
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return own.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id"))).drop("t_id")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
+
+#: A learned classifier and 64-bit shingle hashes have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.materialise(docs)
     return docs

@@ -168,28 +168,31 @@ def train(rows: DataFrame) -> Model:
     return Model(model.language.tolist(), idf, weights, float(model.temperature.iloc[0]) if len(model) else 1.0)
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, text, lang and held_out, and ``row`` with all columns."""
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), row)
+    return d.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+
+
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score.
+    """One row per document: doc_id, held_out, lang_pred, score, and row with all columns of ``docs``.
 
     Learns from rows with a language whose crc32(id as text) mod 4 is not 2. A
     null text, or one without a letter, is ``und`` with score 0; a null id is not
     held out. Ties go to the language that sorts first. An empty table gives no
-    rows; equal rows get equal answers; other columns are ignored."""
+    rows; equal rows get equal answers."""
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    d = d.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    d = _named(docs, id_col, text_col, lang_col)
     model = spark.sparkContext.broadcast(train(d.where("not held_out").select("doc_id", "text", "lang")))
 
-    def predict(batches):
-        m = model.value
-        for b in batches:
-            out = [m.predict(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "lang_pred": [o[0] for o in out], "score": [o[1] for o in out]})
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "text", "held_out").mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return d.withColumn("found", predict("text")).select("doc_id", "held_out", "found.lang_pred", "found.score", "row")
 
 
 def op3_language_id(spark, sf_dir):
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "documents")).drop("row")

@@ -142,7 +142,8 @@ def _lines(d: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row)
     return d.withColumn("key", F.xxhash64("text"))
 
 
@@ -167,8 +168,8 @@ def line_links(d: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: doc_id, key, text, kept (the text without its duplicate
-    lines), n_lines, n_removed and n_links (other line texts within EDITS edits of its
+    """One row per document: doc_id, key, row (all columns of ``docs``), kept (the text
+    without its duplicate lines), n_lines, n_removed and n_links (other line texts within EDITS edits of its
     judged lines, summed over the lines).
 
     Lines end at a line feed; lines of MIN_CHARS characters or more are judged, and
@@ -195,7 +196,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     out = d.join(marks, d.doc_id.eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
     every = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "gone"), lambda i: F.get(every, i)), "\n")
-    return out.select("doc_id", "key", "text", F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("kept"), F.size(every).cast("long").alias("n_lines"),
+    return out.select("doc_id", "key", "row", F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("kept"), F.size(every).cast("long").alias("n_lines"),
                       F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -195,7 +195,7 @@ def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
     kinds = places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "pos", "len")).alias("at"))
     many = places.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
     kinds = kinds.join(many, "h", "left").select("h", "c", "n", "at.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c", "n", "pos", "len", "hot")).alias("want"))
+    wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c", "n", "pos", "len", "hot")).alias("want")).withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
@@ -206,7 +206,7 @@ def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
                 rows += [(w["h"], w["c"], w["n"], w["hot"], data[w["pos"]:w["pos"] + w["len"]]) for w in want]
             yield pd.DataFrame(rows, columns=["h", "c", "n", "hot", "bytes"])
 
-    first = packed.join(wanted, ["doc_id", "key"]).select("packed", "want")
+    first = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("packed", "want")
     texts = materialise(first.mapInPandas(cut, "h long, c long, n long, hot boolean, bytes binary").dropDuplicates(["h", "c"]))
     sorted_ = texts.where("not hot").select("h", "c", "n", "bytes").repartition("h").sortWithinPartitions("h", "c")
     judged = sorted_.mapInPandas(_judge, f"h long, c long, ranges {_RANGES}")
