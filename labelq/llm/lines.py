@@ -12,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from labelq.llm.common import maybe_broadcast, materialise, small_batches, table
 
@@ -141,12 +142,25 @@ def _lines(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= MIN_CHARS)
 
 
+def _text(c) -> Column:
+    return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row)
+    d = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("text"))
     return d.withColumn("key", F.xxhash64("text"))
 
 
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers."""
+    def cut(text, numbers):
+        numbers = {*numbers}
+        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
+
+    return pd.Series([t if g is None or not len(g) else cut(t, g) for t, g in zip(texts, gone)], dtype=object)
+
+
 def line_links(d: DataFrame) -> DataFrame:
     """Pairs (a, b, distance) of the ids, xxhash64 of the line, of different judged
     lines within EDITS edits of each other; d: rows (doc_id, key, text)."""
@@ -168,7 +182,7 @@ def line_links(d: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: doc_id, key, row (all columns of ``docs``), kept (the text
+    """One row per document: doc_id, row (all columns of ``docs``), kept (the text
     without its duplicate lines), n_lines, n_removed and n_links (other line texts within EDITS edits of its
     judged lines, summed over the lines).
 
@@ -193,11 +207,13 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     marks = places.join(told, ["id", "check"]).withColumn("gone", F.col("later") | (spot != F.col("first")))
     marks = marks.groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("n_links"))
     marks = marks.select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), "gone", "n_links")
-    out = d.join(marks, d.doc_id.eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
-    every = F.split("text", "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "gone"), lambda i: F.get(every, i)), "\n")
-    return out.select("doc_id", "key", "row", F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("kept"), F.size(every).cast("long").alias("n_lines"),
-                      F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    own, text = F.col("row")[id_col], _text(F.col("row")[text_col])
+    out = whole.join(marks, own.eqNullSafe(F.col("m_id")) & (F.xxhash64(text) == F.col("m_key")), "left")
+    once = _without.asNondeterministic()  # else a filter on the result runs it a second time
+    removed = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long")
+    return out.select(own.alias("doc_id"), "row", once(text, F.col("gone")).alias("kept"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+                      removed.alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op1_line_dedup(spark, sf_dir):
