@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))  # least() skips NULLs
 
 
 def share(top: Column, bottom: Column, otherwise: Column | None = None) -> Column:

@@ -39,6 +39,7 @@ def _blocks(df: DataFrame, n: int) -> DataFrame:
 
 def block_pairs(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
     """fn(left block, right block) -> frame, for all pairs of blocks; both sides have id and vec."""
+    right = right.toDF(*right.columns)  # columns of its own, where both sides are one frame
     a, b = _blocks(left, n := left.count()), _blocks(right, m := right.count())
     a = a.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-m // BLOCK)) - 1))))
     b = b.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // BLOCK)) - 1))))

@@ -50,14 +50,14 @@ def nhood_enrichment(cells: DataFrame, edges: DataFrame) -> DataFrame:
     into = e.groupBy(F.col("dst").alias("w")).agg(F.count("*").alias("i"))
     both = out.join(into, out.v == into.w, "full_outer").fillna(0, ["o", "i"])
     o, i = F.col("o").cast("double"), F.col("i").cast("double")
-    deg = both.agg(F.sum(o).alias("E"), F.sum(o * (o - 1)).alias("SS"), F.sum(i * (i - 1)).alias("SD"), F.sum(i * o).alias("OI"))
-    back = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).agg(F.count("*").cast("double").alias("R"))
+    deg = both.agg(F.sum(o).alias("edges"), F.sum(o * (o - 1)).alias("ss"), F.sum(i * (i - 1)).alias("ii"), F.sum(i * o).alias("io"))
+    back = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).agg(F.count("*").cast("double").alias("back"))
     size = cells.groupBy(labels().alias("label")).agg(F.count("*").cast("double").alias("k"))
-    n = cells.agg(F.count("*").cast("double").alias("N"))
+    n = cells.agg(F.count("*").cast("double").alias("cells"))
     t = nhood_counts(cells, edges).join(size.select(F.col("label").alias("a"), F.col("k").alias("x")), "a").join(size.select(F.col("label").alias("b"), F.col("k").alias("y")), "b")
     t = t.crossJoin(deg).crossJoin(back).crossJoin(n)
-    x, y, N, E, R = (F.col(c) for c in ("x", "y", "N", "E", "R"))
-    ss, sd_, ht = F.col("SS"), F.col("SD"), 2 * (F.col("OI") - F.col("R"))
+    x, y, N, E, R = (F.col(c) for c in ("x", "y", "cells", "edges", "back"))
+    ss, sd_, ht = F.col("ss"), F.col("ii"), 2 * (F.col("io") - R)
     dj = E * E - E - R - ss - sd_ - ht
     n2, n3, n4 = N * (N - 1), N * (N - 1) * (N - 2), N * (N - 1) * (N - 2) * (N - 3)
     same = F.col("a") == F.col("b")
@@ -116,6 +116,7 @@ def moran_genes(section: Section, edges: DataFrame) -> DataFrame:
 def moran_signal(genes: DataFrame) -> DataFrame:
     """One row: medians of genes and controls, separation, and the share of genes above the
     controls' 95th percentile; NULLs without controls."""
+    genes = genes.persist()
     own, ctl = genes.where("not control"), genes.where("control")
     g = quantiles(own, [], "moran", {"median_gene_moran": 0.5})
     c = quantiles(ctl, [], "moran", {"median_control_moran": 0.5, "p95": 0.95})

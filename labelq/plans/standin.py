@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelq.operators.pairwise import centroids, nearest
 from labelq.operators.space import knn_edges
 from labelq.sources.section import Section, hierarchy_from_dict, markers_from_dict
 
@@ -63,19 +64,15 @@ def spatial_section(spark: SparkSession, sf_dir: str) -> Section:
     genes = spark.range(2, 64).select(F.concat(F.lit("d"), F.col("id")).alias("gene"), F.col("id").cast("int").alias("gene_idx"), (F.col("id") >= 58).alias("control"))
     counts = long.where("v > 0").select("cell_id", F.concat(F.lit("d"), F.col("i")).alias("gene"), F.col("v").alias("value"))
     s = Section(cells, genes, counts, embeddings=p.select(F.col("id").alias("cell_id"), "vec"))
-    return replace(s, edges=knn_edges(cells, SPATIAL_K))
+    return replace(s, edges=knn_edges(cells, SPATIAL_K).persist())
 
 
 def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, class, p, label): exp(-distance to the class centroid), normalised."""
-    from labelq.operators.pairwise import centroids, nearest
-
     p = points(spark, sf_dir)
     c = centroids(p).select(F.col("label").alias("id"), "vec")
     n = c.count()
     d = nearest(p, c, n, same=False).select(F.col("id").alias("cell_id"), F.col("nbr").alias("class"), F.exp(-F.col("distance")).alias("e"))
-    from pyspark.sql import Window
-
     return d.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("cell_id"))).join(p.select(F.col("id").alias("cell_id"), "label"), "cell_id").select("cell_id", "class", F.round("p", 9).alias("p"), "label")
 
 
