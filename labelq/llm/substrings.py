@@ -78,21 +78,21 @@ def sort_buckets(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
         pointer = start[bucket] if base is None else base[start][bucket]
         return pointer, size[bucket] > 1
 
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     pointers = np.empty(n + width, np.int64)
     pointers[n:] = n
     pointers[order], several = split(order, key[order], None)
-    active, depth = np.sort(order[several]), 8
+    active, depth = order[several], 8
     while depth < width and len(active):
         step = min(depth, width - depth)
         key = (pointers[active].astype(_U) << _U(32)) | pointers[active + step].astype(_U)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, at = key[order], active[order]
         old = (key >> _U(32)).astype(np.int64)
         head = np.concatenate(([True], old[1:] != old[:-1]))
         place = np.flatnonzero(head)[np.cumsum(head) - 1]  # of the bucket that is refined
         pointers[at], several = split(at, key, old + np.arange(len(at)) - place)
-        active = np.sort(at[several])
+        active = at[several]
         depth += step
     return pointers[:n]
 
