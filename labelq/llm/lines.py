@@ -3,8 +3,9 @@
 Two lines within ``EDITS`` edits share one of EDITS + 1 segments of the shorter
 one unchanged, at a place that the edits bound. Lines are indexed by their
 segments, probe with the substrings that could be such a segment, for every
-length that is near enough, and candidates are verified by edit distance in a
-band, bit-parallel over the band and vectorised over pairs.
+length that is near enough. Pairs whose bigram sketches differ by more than the
+edits can explain go at once; the others are verified by edit distance in a band,
+bit-parallel over the band and vectorised over pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from labelq.llm.common import maybe_broadcast, materialise, small_batches, table
 
 #: Edits that a duplicate may differ by, and characters of the lines that are judged at least.
 EDITS, MIN_CHARS = 2, 20
-#: Characters of the pairs that are verified at once.
-VERIFY_CELLS = 1 << 22
+#: Characters of the pairs that are verified at once, and pairs that are gathered for it.
+VERIFY_CELLS, VERIFY_ROWS = 1 << 22, 8192
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -105,6 +106,25 @@ def _band(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return distance
 
 
+def sketches(text: str) -> tuple[list[str], np.ndarray]:
+    """Lines of a text and, for each, the parity of its character bigrams in 64 hashed
+    classes. An edit takes away or adds at most two bigrams each way, so it flips at most
+    four bits."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cuts = np.flatnonzero(code == 10)
+    starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(code)]))
+    c = code.astype(np.uint64)
+    bits = np.ones(len(code) + 1, np.uint64)
+    if len(code) > 1:
+        h = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        bits[:len(h)] <<= h >> np.uint64(58)
+    out = np.zeros(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > 1)
+    if len(long):
+        out[long] = np.bitwise_xor.reduceat(bits, np.stack((starts[long], ends[long] - 1), 1).ravel())[::2]
+    return text.split("\n"), out
+
+
 def _keys(plan_of):
     plans: dict = {}
 
@@ -112,27 +132,29 @@ def _keys(plan_of):
         seen: set = set()  # a line that a task has met already adds nothing
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            keys, ids, counts = [], [], []
-            for text in batch.text:
-                for line in text.split("\n"):
-                    if len(line) < MIN_CHARS:
-                        continue
-                    i = digest(line.encode("utf-8", "surrogatepass"), 42)  # what xxhash64() gives
-                    if i in seen:
-                        continue
-                    seen.add(i)
-                    n = len(line)
-                    if n not in plans:
-                        plans[n] = plan_of(n)
-                    if len(line) == len(raw := line.encode("utf-8", "surrogatepass")):
-                        keys += [digest(raw[s:s + m], seed) for seed, s, m in plans[n]]
-                    else:
-                        keys += [digest(line[s:s + m].encode("utf-8", "surrogatepass"), seed) for seed, s, m in plans[n]]
-                    ids.append(i)
-                    counts.append(len(plans[n]))
+            keys, ids, marks, counts = [], [], [], []
+            for line, mark in zip(*sketches("\n".join(batch.text))):
+                n = len(line)
+                if n < MIN_CHARS:
+                    continue
+                raw = line.encode("utf-8", "surrogatepass")
+                i = digest(raw, 42)  # what xxhash64() gives
+                if i in seen:
+                    continue
+                seen.add(i)
+                if n not in plans:
                     if len(plans) > 65536:
                         plans.clear()
-            yield pd.DataFrame({"k": np.array(keys, np.uint64).view(np.int64), "id": np.repeat(np.array(ids, np.uint64), counts).view(np.int64)})
+                    plans[n] = plan_of(n)
+                if n == len(raw):
+                    keys += [digest(raw[s:s + m], seed) for seed, s, m in plans[n]]
+                else:
+                    keys += [digest(line[s:s + m].encode("utf-8", "surrogatepass"), seed) for seed, s, m in plans[n]]
+                ids.append(i)
+                marks.append(mark)
+                counts.append(len(plans[n]))
+            again = lambda x: np.repeat(np.array(x, np.uint64), counts).view(np.int64)
+            yield pd.DataFrame({"k": np.array(keys, np.uint64).view(np.int64), "id": again(ids), "mark": again(marks)})
 
     return run
 
@@ -164,9 +186,10 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 def line_links(d: DataFrame) -> DataFrame:
     """Pairs (a, b, distance) of the ids, xxhash64 of the line, of different judged
     lines within EDITS edits of each other; d: rows (doc_id, key, text)."""
-    index = d.select("text").mapInPandas(_keys(index_plan), "k long, id long").repartition("k").dropDuplicates(["k", "id"])
-    probe = d.select("text").mapInPandas(_keys(probe_plan), "k long, id long").repartition("k").dropDuplicates(["k", "id"]).withColumnRenamed("id", "other")
-    pairs = index.join(probe, "k").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    rows = lambda plan: d.select("text").mapInPandas(_keys(plan), "k long, id long, mark long").repartition("k").distinct()
+    probe = rows(probe_plan).withColumnsRenamed({"id": "other", "mark": "other_mark"})
+    near = F.bit_count(F.col("mark").bitwiseXOR(F.col("other_mark"))) <= 4 * EDITS
+    pairs = rows(index_plan).join(probe, "k").where(near & (F.col("id") != F.col("other"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     pairs = materialise(pairs.distinct())
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = maybe_broadcast(ids, ids.count(), 16)
@@ -174,9 +197,20 @@ def line_links(d: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
 
     def verify(batches):
-        for p in batches:
+        held: list = []
+
+        def flush():
+            p = pd.concat(held, ignore_index=True)
             p = p.assign(distance=within(list(p.line_a), list(p.line_b)))
-            yield p.loc[p.distance <= EDITS, ["a", "b", "distance"]]
+            return p.loc[p.distance <= EDITS, ["a", "b", "distance"]]
+
+        for p in batches:  # many pairs at once: the columns of the band are worked off together
+            held.append(p)
+            if sum(map(len, held)) >= VERIFY_ROWS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
     return both.select("a", "b", "line_a", "line_b").mapInPandas(verify, "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
