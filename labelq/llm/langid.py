@@ -148,7 +148,10 @@ def train(rows: DataFrame) -> Model:
             yield pd.DataFrame({"doc_id": b.doc_id.astype(str), "lang": b.lang, "at": [g[0].astype(np.int32) for g in grams], "n": [g[1].astype(np.int32) for g in grams]})
 
     def fit(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
         pdf = pdf[pdf["at"].map(len) > 0].sort_values(["doc_id", "lang"]).reset_index(drop=True)
         languages = sorted(pdf.lang.unique())
         data = [(a, weigh(a, c, idf), languages.index(y)) for a, c, y in zip(pdf["at"], pdf.n, pdf.lang)]

@@ -176,7 +176,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
             yield pd.DataFrame({"id": b.doc_id.astype(str), "y": b.y, "ta": [x[0].astype(np.int32) for x in t], "tx": [x[1].astype(np.float32) for x in t], "ma": [x[0].astype(np.int32) for x in m]})
 
     def learn(batches):
-        rows = pd.concat([*batches], ignore_index=True)
+        parts = [*batches]
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
         rows = rows.assign(o=[zlib.crc32(i.encode()) for i in rows["id"]]).sort_values(["o", "id"])
         text = [(a, x.astype(float)) for a, x in zip(rows.ta, rows.tx)]
         meta = [(a, np.full(len(a), 1 / np.sqrt(len(a)))) for a in rows.ma]

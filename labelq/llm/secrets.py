@@ -183,7 +183,8 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", base=BASE, a
     kind; code points, end exclusive) ordered by start, then rule.
 
     A null text is empty and has no spans. Rows that repeat an id are each scanned
-    (candidates are found by id, and the regex decides). An empty table gives no
+    (candidates are found by id, and the regex decides); rows without an id are
+    scanned by every rule. An empty table gives no
     rows; other columns are ignored. Whole texts are scanned."""
     rules = [*base, *added]
     queries = [trigram_query(r.regex) for r in rules]
@@ -200,7 +201,9 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", base=BASE, a
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for rank, r in enumerate(rules):
-        due = F.array_contains("kinds", r.kind) if r.kind in indexed else F.col("text").rlike(r.regex)
+        due = F.col("text").rlike(r.regex)
+        if r.kind in indexed:  # postings hold no null ids
+            due = F.when(F.col("doc_id").isNull(), due).otherwise(F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)))
         parts.append(F.when(due, _spans(F.col("text"), r, rank)).otherwise(empty))
     return d.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
