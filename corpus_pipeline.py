@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from labelq.llm import common, decontam, langid, lines, mixing, simhash
 
 #: Confidence below which a document has no language that can be told.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark."""
-    gone = decontam.find_contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
+    return common.without(docs, decontam.find_contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

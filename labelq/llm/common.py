@@ -47,6 +47,13 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (one column); null ids stay. The ids are
+    broadcast only where their number is counted to be small."""
+    gone = materialise(gone.toDF("__gone").distinct())
+    return docs.join(maybe_broadcast(gone, gone.count(), 32), docs[id_col] == gone["__gone"], "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 

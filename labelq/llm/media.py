@@ -175,23 +175,25 @@ def media_columns(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[Da
 
     Every whole text is a payload: UTF-8, padded with byte 255. A null text is an
     empty one, whose payload is 576 bytes of 255. Rows that repeat a text share
-    one stored member. An empty table gives no shard; other columns are ignored."""
+    one stored member (rows that repeat id and text in several tasks may leave further
+    ones, which the index does not name). An empty table gives no shard; other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_dir(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "text")
 
-    # Of several documents with one digest, the one with the smallest id owns the member.
-    copies = d.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last")
-    other = materialise(d.select("digest", "doc_id").join(copies, "digest").where("doc_id <> owner").select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest")).distinct())
+    # Of several documents with one digest, the one whose id sorts first as text owns the member.
+    d = d.withColumn("who", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    copies = materialise(d.groupBy("digest").agg(F.min("who").alias("owner"), F.max("who").alias("last")).where("owner <> last").select("digest", "owner"))
+    other = materialise(d.select("digest", "who").join(copies, "digest").where("who <> owner").select(F.col("who").alias("copy_who"), F.col("digest").alias("copy_digest")).distinct())
     other = maybe_broadcast(other, other.count(), 96)
-    own = d.join(other, (d.doc_id == other.copy_id) & (d.digest == other.copy_digest), "left_anti")
+    own = d.join(other, (d.who == other.copy_who) & (d.digest == other.copy_digest), "left_anti")
     index = materialise(write_shards(own.select("digest", "text"), folder))
     index = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     index = index.repartition("shard").sortWithinPartitions("shard", "offset")
     index = materialise(read_headers(index, folder))
-    return d.drop("text"), index, folder
+    return d.drop("text", "who"), index, folder
 
 
 def op9_media_columns(spark, sf_dir):

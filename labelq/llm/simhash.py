@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import connected_components, materialise, small_batches, table
+from labelq.llm.common import connected_components, materialise, small_batches, table, without
 
 #: Fingerprints of a leaf that are compared block by block.
 LEAF = 4096
@@ -170,9 +170,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
 def one_of_each(docs: DataFrame, id_col="doc_id", **kw) -> DataFrame:
     """The documents whose id is their component's; every column stays. Rows that
     repeat an id all stay with it."""
-    found = near_duplicates(docs, id_col, **kw)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return without(docs, near_duplicates(docs, id_col, **kw).where("doc_id <> component_id").select("doc_id"), id_col)
 
 
 def op5_simhash(spark, sf_dir):

@@ -158,9 +158,10 @@ def _judge_by_join(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame
     fits = urls.select("url", F.explode("keys").alias("rule")).withColumn("digest", F.xxhash64("rule")).join(
         rules.withColumn("digest", F.xxhash64("rule")), ["digest", "rule"])
     best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    judged = urls.drop("keys").join(best, urls.url.eqNullSafe(best.url), "left").select(
-        urls.url, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    return rows.join(judged, rows.url.eqNullSafe(judged.url)).select("page_id", "host", "path", "rule", "verdict")
+    best = best.withColumnRenamed("url", "best_url")
+    judged = urls.drop("keys").join(best, F.col("url").eqNullSafe(F.col("best_url")), "left").select(
+        F.col("url").alias("judged_url"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return rows.join(judged, F.col("url").eqNullSafe(F.col("judged_url"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: The rules of the registered query.

@@ -33,7 +33,7 @@ def documents():
     rows = [row(i, prose(rng, rng.choice([10, 60, 120]))) for i in range(20)]
     rows += [row(50 + i, prose(rng, 20) + passage + prose(rng, 20)) for i in range(6)]
     rows += [row(70, rows[1][1]), row(71, passage[20:400]), row(72, "é" * 350), row(73, "ab" * 300), row(74, prose(rng, 30) * 3), row(75, "z" * 200), row(76, "z" * 199)]
-    return rows + corpus(3, 8)[-8:]
+    return rows + corpus(3, 12)[-8:]
 
 
 @pytest.mark.parametrize("hot", [S.HOT, 1])
