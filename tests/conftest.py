@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
@@ -35,10 +35,3 @@ def duck(sf_dir):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     return con
-
-
-def rows(pdf):
-    """Rows of a frame in an order of their own, values as text."""
-    cols = sorted(pdf.columns)
-    text = lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
-    return cols, sorted(tuple(text(v) for v in r) for r in pdf[cols].itertuples(index=False))
