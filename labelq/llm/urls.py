@@ -9,8 +9,8 @@ above the broadcast bound is joined by digest and string instead.
 from __future__ import annotations
 
 import hashlib
+import mmap
 import os
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -53,8 +53,9 @@ class DigestArray:
         ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<u8").tobytes()
         return head + keys + ends + np.array([r[2] for r in rows], "u1").tobytes() + blob
 
-    def __init__(self, path: str):
-        raw = np.memmap(path, "u1", "r")
+    def __init__(self, data):
+        """data: what pack() made, as a memory map or any other buffer."""
+        raw = np.frombuffer(data, "u1")
         n, size = (int(x) for x in raw[:16].view("<u8"))
         self.keys = raw[16:16 + 8 * n].view("<u8")
         at = 16 + 8 * n
@@ -87,14 +88,16 @@ _OPEN: dict[str, DigestArray] = {}
 
 
 def _mapped(data: bytes) -> DigestArray:
-    """The array, written once per worker's temporary folder and mapped."""
+    """The array in an anonymous file, mapped read-only, once a worker; no folder is written to."""
     name = hashlib.sha256(data).hexdigest()
     if name not in _OPEN:
-        path = os.path.join(tempfile.gettempdir(), f"digests-{name}-{os.getpid()}")
-        with open(path, "wb") as f:
-            f.write(data)
-        _OPEN[name] = DigestArray(path)
-        os.unlink(path)  # the mapping stays valid
+        if hasattr(os, "memfd_create"):
+            fd = os.memfd_create("digests")
+            with open(fd, "wb") as f:
+                f.write(data)
+                f.flush()
+                data = mmap.mmap(fd, len(data), access=mmap.ACCESS_READ)
+        _OPEN[name] = DigestArray(data)
     return _OPEN[name]
 
 
