@@ -57,3 +57,13 @@ def kth_smallest(df: DataFrame, by: list[str], value: str, k: Column, alias: str
     c = c.join(totals, by) if by else c.crossJoin(totals)
     hit = (F.col("before") < k) & (k <= F.col("before") + F.col("n"))
     return c.groupBy(*by).agg(F.max(F.when(hit, F.col(value))).alias(alias), F.max("total").alias("rows"))
+
+
+def column_quantiles(df: DataFrame, probs: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with a quantile of each named column, {name: (column, p)}, from one pass: the
+    columns are stacked and ranked side by side."""
+    columns = sorted({c for c, _ in probs.values()})
+    stack = F.explode(F.array(*(F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("x")) for c in columns)))
+    levels = sorted({p for _, p in probs.values()})
+    q = quantiles(df.select(stack.alias("s")).select("s.*"), ["which"], "x", {f"q{k}": p for k, p in enumerate(levels)})
+    return q.agg(*(F.max(F.when(F.col("which") == c, F.col(f"q{levels.index(p)}"))).alias(name) for name, (c, p) in probs.items()))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.functions.ranks import quantiles
+from labelq.functions.ranks import column_quantiles
 from labelq.functions.scalar import clip, share
 from labelq.sources.section import Section
 
@@ -39,30 +39,48 @@ def signal_cells(section: Section) -> DataFrame:
                     F.when(F.col("cell_area") > 0, counts / F.col("cell_area").cast("double")).alias("tx_per_area"))
 
 
-def sparsity(section: Section, cells: DataFrame | None = None) -> DataFrame:
-    """One row: zero_fraction of the whole matrix and median_cell_sparsity."""
-    per = signal_cells(section) if cells is None else cells
+#: Headline medians: name and per-cell column.
+MEDIANS = {"median_cell_sparsity": "sparsity", "median_detection_entropy": "detection_entropy", "median_mean_signal_ratio": "mean_signal_ratio", "median_max_signal_ratio": "max_signal_ratio", "median_tx_per_area": "tx_per_area"}
+
+
+def _medians(cells: DataFrame, *columns: str) -> DataFrame:
+    return column_quantiles(cells, {name: (c, 0.5) for name, c in MEDIANS.items() if c in columns})
+
+
+def _shares(cells: DataFrame) -> DataFrame:
+    rate = lambda c: F.avg(c.cast("double"))
+    return cells.agg(rate(F.col("detection_entropy") < 0.1).alias("frac_cells_single_gene_dominated"), rate(F.col("mean_signal_ratio") <= 0).alias("frac_cells_signal_below_control"))
+
+
+def _zero_fraction(section: Section) -> DataFrame:
     nnz = section.counts.where("value <> 0").agg(F.count("*").alias("nnz"))
     size = section.cells.agg(F.count("*").alias("n")).crossJoin(section.genes.agg(F.count("*").alias("g")))
-    whole = nnz.crossJoin(size).select((1 - share(F.col("nnz"), F.col("n") * F.col("g"))).alias("zero_fraction"))
-    return whole.crossJoin(quantiles(per, [], "sparsity", {"median_cell_sparsity": 0.5}))
+    return nnz.crossJoin(size).select((1 - share(F.col("nnz"), F.col("n") * F.col("g"))).alias("zero_fraction"))
+
+
+def sparsity(section: Section) -> DataFrame:
+    """One row: zero_fraction of the whole matrix and median_cell_sparsity."""
+    return _zero_fraction(section).crossJoin(_medians(signal_cells(section).persist(), "sparsity"))
 
 
-def detection_entropy(section: Section, cells: DataFrame | None = None) -> DataFrame:
+def detection_entropy(section: Section) -> DataFrame:
     """One row: median entropy, and the share of cells that one gene dominates (below 0.1)."""
-    per = signal_cells(section) if cells is None else cells
-    return quantiles(per, [], "detection_entropy", {"median_detection_entropy": 0.5}).crossJoin(
-        per.agg(F.avg((F.col("detection_entropy") < 0.1).cast("double")).alias("frac_cells_single_gene_dominated")))
+    cells = signal_cells(section).persist()
+    return _medians(cells, "detection_entropy").crossJoin(_shares(cells).select("frac_cells_single_gene_dominated"))
 
 
-def signal_to_noise(section: Section, cells: DataFrame | None = None) -> DataFrame:
+def signal_to_noise(section: Section) -> DataFrame:
     """One row: medians of both ratios, and the share of cells whose mean does not clear the controls'."""
-    per = signal_cells(section) if cells is None else cells
-    return quantiles(per, [], "mean_signal_ratio", {"median_mean_signal_ratio": 0.5}).crossJoin(quantiles(per, [], "max_signal_ratio", {"median_max_signal_ratio": 0.5})).crossJoin(
-        per.agg(F.avg((F.col("mean_signal_ratio") <= 0).cast("double")).alias("frac_cells_signal_below_control")))
+    cells = signal_cells(section).persist()
+    return _medians(cells, "mean_signal_ratio", "max_signal_ratio").crossJoin(_shares(cells).select("frac_cells_signal_below_control"))
 
 
-def tx_per_area(section: Section, cells: DataFrame | None = None) -> DataFrame:
+def tx_per_area(section: Section) -> DataFrame:
     """One row: median counts per area over cells with an area."""
-    per = signal_cells(section) if cells is None else cells
-    return quantiles(per, [], "tx_per_area", {"median_tx_per_area": 0.5})
+    return _medians(signal_cells(section).persist(), "tx_per_area")
+
+
+def signal_summary(section: Section) -> DataFrame:
+    """One row with all of the above; cells are read from one cached pass."""
+    cells = signal_cells(section).persist()
+    return _zero_fraction(section).crossJoin(_medians(cells, *MEDIANS.values())).crossJoin(_shares(cells))

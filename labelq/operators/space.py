@@ -117,9 +117,9 @@ def moran_signal(genes: DataFrame) -> DataFrame:
     """One row: medians of genes and controls, separation, and the share of genes above the
     controls' 95th percentile; NULLs without controls."""
     genes = genes.persist()
-    own, ctl = genes.where("not control"), genes.where("control")
-    g = quantiles(own, [], "moran", {"median_gene_moran": 0.5})
-    c = quantiles(ctl, [], "moran", {"median_control_moran": 0.5, "p95": 0.95})
-    above = own.crossJoin(c).where("moran is not null").agg(F.avg((F.col("moran") > F.col("p95")).cast("double")).alias("frac_genes_above_control_p95"))
-    n = genes.agg(F.sum((~F.col("control")).cast("long")).alias("n_genes"), F.sum(F.col("control").cast("long")).alias("n_controls"))
-    return g.crossJoin(c).crossJoin(above).crossJoin(n).select("median_gene_moran", "median_control_moran", "n_genes", "n_controls", (F.col("median_gene_moran") - F.col("median_control_moran")).alias("separation"), "frac_genes_above_control_p95")
+    q = quantiles(genes, ["control"], "moran", {"m": 0.5, "p": 0.95})
+    head = q.agg(F.max(F.when(~F.col("control"), F.col("m"))).alias("median_gene_moran"), F.max(F.when(F.col("control"), F.col("m"))).alias("median_control_moran"), F.max(F.when(F.col("control"), F.col("p"))).alias("p95"))
+    above = genes.crossJoin(F.broadcast(head)).agg(  # one row
+        F.sum((~F.col("control")).cast("long")).alias("n_genes"), F.sum(F.col("control").cast("long")).alias("n_controls"),
+        F.avg(F.when(~F.col("control") & F.col("moran").isNotNull(), (F.col("moran") > F.col("p95")).cast("double"))).alias("frac_genes_above_control_p95"))
+    return head.crossJoin(above).select("median_gene_moran", "median_control_moran", "n_genes", "n_controls", (F.col("median_gene_moran") - F.col("median_control_moran")).alias("separation"), "frac_genes_above_control_p95")

@@ -128,10 +128,7 @@ def annotation_quality(section: Section, markers: DataFrame | None = None, sampl
 
 def signal_report(section: Section, with_moran: bool = True) -> DataFrame:
     """One row with the headline figures of all signal metrics; Moran's where the section has edges."""
-    cells = signal.signal_cells(section).persist()  # read once for each headline figure
-    out = signal.sparsity(section, cells)
-    for part in (signal.detection_entropy, signal.signal_to_noise, signal.tx_per_area):
-        out = out.crossJoin(part(section, cells))
+    out = signal.signal_summary(section)
     if with_moran and section.edges is not None:
         out = out.crossJoin(space.moran_signal(space.moran_genes(section, section.edges)))
     return out
