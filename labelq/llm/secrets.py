@@ -144,9 +144,10 @@ def trigrams(q: tuple) -> set[str]:
 def postings(docs: DataFrame, wanted: set[str]) -> DataFrame:
     """The inverted index of ``docs`` (doc_id, text): block, and a map from each
     trigram in ``wanted`` to the block's documents that contain it."""
-    low = F.lower("text")
-    has = F.filter(F.array(*map(F.lit, sorted(wanted))), lambda t: F.contains(low, t))
-    rows = docs.where("text is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-docs.count() // BLOCK_DOCS)))).alias("block"), F.explode(has).alias("trigram"))
+    low = F.lower("text")  # once a text: common to all conditions of one projection
+    has = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(wanted))))
+    blocks = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-docs.count() // BLOCK_DOCS))))
+    rows = docs.where("text is not null").select("doc_id", blocks.alias("block"), has.alias("has")).select("doc_id", "block", F.explode("has").alias("trigram"))
     lists = rows.groupBy("block", "trigram").agg(F.collect_set("doc_id").alias("docs"))
     return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("index"))
 
