@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import materialise, small_batches, table
+from labelq.llm.common import materialise, maybe_broadcast, small_batches, table
 
 WIDTH, GRAM = 200, 16
 #: Text that is sorted at once, and stretches of one gram above which the gram's
@@ -190,11 +190,12 @@ def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
     packed = d.mapInPandas(pack, f"doc_id {kind}, key long, packed binary")
     grams = d.mapInPandas(find(False), "h long").groupBy("h").count().where("count > 1").select("h")
     places = d.mapInPandas(find(True), f"doc_id {kind}, key long, pos int, len int, h long, c long")
-    places = materialise(places.join(grams, "h"))
+    places = materialise(places.join(materialise(grams), "h"))  # two plain exchanges: a hot gram's partition can be split
     # equal stretches are sorted once, with their number
     kinds = places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "pos", "len")).alias("at"))
     many = places.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-    kinds = kinds.join(many, "h", "left").select("h", "c", "n", "at.*", F.coalesce("hot", F.lit(False)).alias("hot"))
+    many = materialise(many)
+    kinds = kinds.join(maybe_broadcast(many, many.count(), 32), "h", "left").select("h", "c", "n", "at.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c", "n", "pos", "len", "hot")).alias("want")).withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
 
     def cut(batches):
