@@ -138,8 +138,14 @@ def train(rows: DataFrame) -> Model:
     df[known["at"].to_numpy(int)] = known.df
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = materialise(rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= ROWS_PER_LANGUAGE).select("doc_id").distinct())
+    # The rows of least hash in each language. Where a language has many, a threshold on the hash
+    # leaves about four times as many as are wanted, so that no task ranks a whole language.
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    hashed = F.xxhash64("doc_id")
+    share = F.least(F.lit(1.0), F.lit(4.0 * ROWS_PER_LANGUAGE) / F.col("rows"))
+    low = rows.select("doc_id", "lang").join(maybe_broadcast(sizes, sizes.count(), 64), "lang").where(hashed / 2.0 ** 64 + 0.5 <= share)
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    picked = materialise(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= ROWS_PER_LANGUAGE).select("doc_id").distinct())
     sample = rows.join(maybe_broadcast(picked, picked.count(), 32), "doc_id", "left_semi")
 
     def features(batches):
