@@ -142,19 +142,22 @@ def trigrams(q: tuple) -> set[str]:
 
 
 def postings(docs: DataFrame, wanted: set[str]) -> DataFrame:
-    """The inverted index of ``docs`` (doc_id, text): block, and a map from each
-    trigram in ``wanted`` to the block's documents that contain it."""
-    low = F.lower("text")
-    has = F.filter(F.array(*map(F.lit, sorted(wanted))), lambda t: F.contains(low, t))
-    rows = docs.where("text is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-docs.count() // BLOCK_DOCS)))).alias("block"), F.explode(has).alias("trigram"))
-    lists = rows.groupBy("block", "trigram").agg(F.collect_set("doc_id").alias("docs"))
-    return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("index"))
+    """The inverted index of ``docs`` (doc_id, text): a row for each block of documents, with a
+    column for each trigram in ``wanted`` that lists the block's documents that contain it."""
+    blocks = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-docs.count() // BLOCK_DOCS))))
+    # a projection of its own, which all lists refer to: each text is lower-cased once
+    low = docs.where("text is not null").select("doc_id", blocks.alias("block"), F.lower("text").alias("low"))
+    return low.groupBy("block").agg(*(F.collect_set(F.when(F.contains(F.col("low"), F.lit(t)), F.col("doc_id"))).alias(_column(t)) for t in sorted(wanted)))
 
 
-def _evaluate(q: tuple, none: Column) -> Column:
+def _column(trigram: str) -> str:
+    return "has_" + trigram.encode().hex()
+
+
+def _evaluate(q: tuple) -> Column:
     if q[0] == "has":
-        return F.coalesce(F.element_at("index", F.lit(q[1])), none)
-    return reduce(F.array_intersect if q[0] == "and" else F.array_union, (_evaluate(x, none) for x in q[1:]))
+        return F.col(_column(q[1]))
+    return reduce(F.array_intersect if q[0] == "and" else F.array_union, (_evaluate(x) for x in q[1:]))
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -191,9 +194,8 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", base=BASE, a
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = set().union(*map(trigrams, queries))
     indexed = {r.kind: q for r, q in zip(rules, queries) if q != ANY}
-    none = F.array().cast(f"array<{d.schema['doc_id'].dataType.simpleString()}>")
     if indexed:
-        found = postings(d, wanted).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _evaluate(q, none).alias("docs")) for k, q in indexed.items()))).alias("r"))
+        found = postings(d, wanted).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _evaluate(q).alias("docs")) for k, q in indexed.items()))).alias("r"))
         cand = found.select(F.col("r.kind").alias("kind"), F.explode("r.docs").alias("cand_id")).groupBy("cand_id").agg(F.collect_set("kind").alias("kinds"))
         d = d.join(materialise(cand), F.col("doc_id") == F.col("cand_id"), "left").drop("cand_id")
     else:
