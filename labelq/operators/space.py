@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from labelq.functions.ranks import quantiles
 from labelq.functions.scalar import share
-from labelq.operators.pairwise import nearest
+from labelq.operators.plane import nearest_in_plane
 from labelq.sources.section import Section, labels
 
 
 def knn_edges(cells: DataFrame, k: int, x: str = "x", y: str = "y") -> DataFrame:
     """(src, dst, weight): directed edges of weight 1 to the k nearest other cells, ties by id."""
-    p = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col("cell_id").alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("vec"))
-    return nearest(p, p, k).select(F.col("id").alias("src"), F.col("nbr").alias("dst"), F.lit(1.0).alias("weight"))
+    p = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col("cell_id").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return nearest_in_plane(p, k).select(F.col("id").alias("src"), F.col("nbr").alias("dst"), F.lit(1.0).alias("weight"))
 
 
 def _ends(cells: DataFrame, edges: DataFrame) -> DataFrame:
