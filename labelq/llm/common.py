@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handed to Python at once; texts may be megabytes long.
-BATCH_ROWS = 256
+#: Rows and bytes of text handed to Python at once; texts may be megabytes long.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 #: A side is broadcast only when its checked size is below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, so that long texts fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +59,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 
     Alternating large-star and small-star steps; every step is a partial
-    aggregation and a join, and its result is written to the shared folder.
+    aggregation and a join, and its result is written to the shared folder. The
+    smallest neighbours are written too, so that the join meets two plain exchanges
+    and the partition of a node with very many edges can be split.
     Returns (node, root) for every node with an edge to another node.
     Self-loops and repeated edges change nothing; no edges give no rows."""
     def both(e):
@@ -74,11 +77,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = stamp(edges)
     while seen[0]:
         e = both(edges)
-        low = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialise(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = tidy(e.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.where("m < a").select("a", F.col("m").alias("b"))))
         large = materialise(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
         edges = materialise(tidy(small))
