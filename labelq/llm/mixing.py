@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that all words together are cut into, and blocks of a small source at least.
 BLOCKS, LEAST_BLOCKS = 1 << 16, 256
 #: Rows that one bucket of a source's stream holds on average, and buckets of one group.
-BUCKET_ROWS, GROUP_BUCKETS = 4096, 1024
+BUCKET_ROWS, GROUP_BUCKETS = 512, 1024
 MAX_REPEATS = 3
 
 
