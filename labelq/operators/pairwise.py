@@ -61,12 +61,12 @@ def nearest(points: DataFrame, others: DataFrame, k: int, metric: str = "euclide
         ids = y.id.to_numpy()
         order = np.argsort(ids, kind="stable")
         d, ids = d[:, order], ids[order]
-        out = []
-        for i, row in zip(x.id, d):
-            near = np.argsort(row, kind="stable")[:k + 1]
-            near = near[ids[near] != i][:k] if same else near[:k]
-            out.append(pd.DataFrame({"id": i, "nbr": ids[near], "distance": row[near]}))
-        return pd.concat(out, ignore_index=True)
+        if same:
+            d[x.id.to_numpy()[:, None] == ids[None]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(d, near, 1)
+        ok = np.isfinite(dist)
+        return pd.DataFrame({"id": np.repeat(x.id.to_numpy(), ok.sum(1)), "nbr": ids[near[ok]], "distance": dist[ok]})
 
     found = block_pairs(points.select("id", "vec"), others.select("id", "vec"), best, f"id {kind}, nbr {okind}, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "nbr"))
