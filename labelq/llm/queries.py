@@ -17,4 +17,4 @@ QUERIES = {
     "op9_media_columns": media.op9_media_columns,
 }
 
-ORACLES = {"op4_secret_scan": secrets.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLES = {"op10_substring_dedup": substrings.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_url_filter": urls.ORACLE}

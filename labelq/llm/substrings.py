@@ -260,6 +260,20 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The same by grouping all windows, written in hexadecimal digits.
+ORACLE = """
+with d as (select doc_id, row_number() over () as rn, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rn, s, md5(substr(h, 2 * s + 1, 400)) as m from (select rn, h, unnest(range(0, len(h) // 2 - 199)) as s from d)),
+r as (select rn, s from w where m in (select m from w group by m having count(*) > 1)),
+g as (select rn, s, case when s <= lag(s) over (partition by rn order by s) + 200 then 0 else 1 end as fresh from r),
+i as (select rn, s, sum(fresh) over (partition by rn order by s) as run from g),
+p as (select rn, run, min(s) as a, max(s) + 200 as b from i group by rn, run),
+e as (select rn, a, b, coalesce(lag(b) over (partition by rn order by a), 0) as before from p),
+k as (select e.rn, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from e join d using (rn) group by e.rn)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (rn)
+"""
+
+
 def brute_force(texts: list[str | None], width: int = WIDTH) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, digest of what is kept) of each text, for tests."""
     datas = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
