@@ -106,18 +106,29 @@ def _band(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return distance
 
 
+def _bits(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each bigram of code points."""
+    h = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.uint64(1) << (h >> np.uint64(58))
+
+
+#: The bits of all bigrams of the first 256 code points.
+_LATIN = _bits(np.arange(1 << 16) >> 8, np.arange(1 << 16) & 255)
+
+
 def sketches(text: str) -> tuple[list[str], np.ndarray]:
     """Lines of a text and, for each, the parity of its character bigrams in 64 hashed
     classes. An edit takes away or adds at most two bigrams each way, so it flips at most
     four bits."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        code = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     cuts = np.flatnonzero(code == 10)
     starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(code)]))
-    c = code.astype(np.uint64)
-    bits = np.ones(len(code) + 1, np.uint64)
+    bits = np.zeros(len(code) + 1, np.uint64)
     if len(code) > 1:
-        h = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xD6E8FEB86659FD93)
-        bits[:len(h)] <<= h >> np.uint64(58)
+        bits[:len(code) - 1] = _LATIN[(code[:-1].astype(np.uint16) << np.uint16(8)) | code[1:]] if code.dtype == np.uint8 else _bits(code[:-1], code[1:])
     out = np.zeros(len(starts), np.uint64)
     long = np.flatnonzero(ends - starts > 1)
     if len(long):
@@ -125,7 +136,26 @@ def sketches(text: str) -> tuple[list[str], np.ndarray]:
     return text.split("\n"), out
 
 
-def _keys(plan_of):
+def _parts(texts, most: int = 1 << 20):
+    """The lines of all texts, in lists of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
+        for line in text.split("\n"):
+            held.append(line)
+            size += len(line)
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _plan(length: int) -> list[tuple[int, int, int]]:
+    return [*index_plan(length), *probe_plan(length)]
+
+
+def _keys():
+    """Rows (k, id, mark, probe) of the segments and of the probes of every judged line."""
     plans: dict = {}
 
     def run(batches):
@@ -133,7 +163,7 @@ def _keys(plan_of):
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             keys, ids, marks, counts = [], [], [], []
-            for line, mark in zip(*sketches("\n".join(batch.text))):
+            for line, mark in (x for part in _parts(batch.text) for x in zip(*sketches("\n".join(part)))):
                 n = len(line)
                 if n < MIN_CHARS:
                     continue
@@ -145,7 +175,7 @@ def _keys(plan_of):
                 if n not in plans:
                     if len(plans) > 65536:
                         plans.clear()
-                    plans[n] = plan_of(n)
+                    plans[n] = _plan(n)
                 if n == len(raw):
                     keys += [digest(raw[s:s + m], seed) for seed, s, m in plans[n]]
                 else:
@@ -154,7 +184,11 @@ def _keys(plan_of):
                 marks.append(mark)
                 counts.append(len(plans[n]))
             again = lambda x: np.repeat(np.array(x, np.uint64), counts).view(np.int64)
-            yield pd.DataFrame({"k": np.array(keys, np.uint64).view(np.int64), "id": again(ids), "mark": again(marks)})
+            probe = np.ones(len(keys), bool)
+            first = np.cumsum(counts, dtype=int) - counts
+            for i in range(EDITS + 1):  # a line's segments stand first
+                probe[first + i] = False
+            yield pd.DataFrame({"k": np.array(keys, np.uint64).view(np.int64), "id": again(ids), "mark": again(marks), "probe": probe})
 
     return run
 
@@ -183,17 +217,24 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([t if g is None or not len(g) else cut(t, g) for t, g in zip(texts, gone)], dtype=object)
 
 
-def line_links(d: DataFrame) -> DataFrame:
+def line_links(d: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs (a, b, distance) of the ids, xxhash64 of the line, of different judged
-    lines within EDITS edits of each other; d: rows (doc_id, key, text)."""
-    rows = lambda plan: d.select("text").mapInPandas(_keys(plan), "k long, id long, mark long").repartition("k").distinct()
-    probe = rows(probe_plan).withColumnsRenamed({"id": "other", "mark": "other_mark"})
+    lines within EDITS edits of each other; d: rows (doc_id, key, text), firsts: id
+    and place of first occurrence of each judged line."""
+    rows = d.select("text").mapInPandas(_keys(), "k long, id long, mark long, probe boolean").repartition("k")
+    # Flags of one aggregation tell the sides apart, so that both read one exchange; a filter on
+    # the column itself would go below it and have the texts cut up once for each side.
+    rows = rows.groupBy("k", "id", "mark").agg(F.bool_or(~F.col("probe")).alias("segment"), F.bool_or("probe").alias("probe"))
+    probe = rows.where("probe").select("k", F.col("id").alias("other"), F.col("mark").alias("other_mark"))
     near = F.bit_count(F.col("mark").bitwiseXOR(F.col("other_mark"))) <= 4 * EDITS
-    pairs = rows(index_plan).join(probe, "k").where(near & (F.col("id") != F.col("other"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = rows.where("segment").select("k", "id", "mark").join(probe, "k").where(near & (F.col("id") != F.col("other"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     pairs = materialise(pairs.distinct())
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = maybe_broadcast(ids, ids.count(), 16)
-    texts = materialise(_lines(d).select(F.xxhash64("line").alias("id"), "line").join(few, "id", "left_semi").distinct())
+    # the candidates' texts, from the documents that first hold them
+    holders = materialise(firsts.join(few, "id", "left_semi").select(F.col("first.doc_id").alias("h_id"), F.col("first.key").alias("h_key")).distinct())
+    held = d.join(maybe_broadcast(holders, holders.count(), 32), d.doc_id.eqNullSafe(F.col("h_id")) & (d.key == F.col("h_key")), "left_semi")
+    texts = materialise(_lines(held).select(F.xxhash64("line").alias("id"), "line").join(few, "id", "left_semi").distinct())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
 
     def verify(batches):
@@ -231,7 +272,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     places = materialise(_lines(d).select("doc_id", "key", "no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check")))
     spot = F.struct("doc_id", "key", "no")
     firsts = materialise(places.groupBy("id", "check").agg(F.min(spot).alias("first"), F.count("*").alias("n")))
-    links = materialise(line_links(d))
+    links = materialise(line_links(d, firsts))
     either = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
     first_of = firsts.groupBy("id").agg(F.min("first").alias("first"))
     near = either.join(first_of, "id").join(first_of.select(F.col("id").alias("other"), F.col("first").alias("other_first")), "other")
