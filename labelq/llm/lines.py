@@ -221,13 +221,13 @@ def line_links(d: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs (a, b, distance) of the ids, xxhash64 of the line, of different judged
     lines within EDITS edits of each other; d: rows (doc_id, key, text), firsts: id
     and place of first occurrence of each judged line."""
-    rows = d.select("text").mapInPandas(_keys(), "k long, id long, mark long, probe boolean").repartition("k")
-    # Flags of one aggregation tell the sides apart, so that both read one exchange; a filter on
-    # the column itself would go below it and have the texts cut up once for each side.
-    rows = rows.groupBy("k", "id", "mark").agg(F.bool_or(~F.col("probe")).alias("segment"), F.bool_or("probe").alias("probe"))
-    probe = rows.where("probe").select("k", F.col("id").alias("other"), F.col("mark").alias("other_mark"))
+    # Both sides read one exchange. The random column keeps the filter that tells them apart above
+    # it; below, it would have the texts cut up once for each side.
+    rows = d.select("text").mapInPandas(_keys(), "k long, id long, mark long, probe boolean").repartition("k").withColumn("above", F.rand(0))
+    side = lambda probe: rows.where((F.col("probe") == probe) & (F.col("above") >= 0)).select("k", "id", "mark").distinct()
+    probe = side(True).withColumnsRenamed({"id": "other", "mark": "other_mark"})
     near = F.bit_count(F.col("mark").bitwiseXOR(F.col("other_mark"))) <= 4 * EDITS
-    pairs = rows.where("segment").select("k", "id", "mark").join(probe, "k").where(near & (F.col("id") != F.col("other"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = side(False).join(probe, "k").where(near & (F.col("id") != F.col("other"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     pairs = materialise(pairs.distinct())
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = maybe_broadcast(ids, ids.count(), 16)
