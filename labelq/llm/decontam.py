@@ -111,7 +111,6 @@ def windows(t: dict, size: int):
     if n <= 0:
         return
     pw = _tables["win"][:size]
-    lit = np.zeros(n, int)
     for variant, name in enumerate(("plain", "named")):
         total = np.zeros(n, _U)
         lit = np.zeros(n, np.int16)
