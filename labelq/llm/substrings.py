@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from labelq.llm.common import materialise, maybe_broadcast, small_batches, table
 
 WIDTH, GRAM = 200, 16
-#: Text that is sorted at once, and stretches of one gram above which the gram's
+#: Text that is sorted at once (arrays of its size stay in a core's cache), and stretches of one gram above which the gram's
 #: windows are grouped one by one, spread over all tasks, instead of in one sort.
-SORT_BYTES, HOT = 3 << 20, 8192
+SORT_BYTES, HOT = 1 << 16, 8192
 #: Bytes hashed at once; positions within must fit the packed order's low bits.
 _LOW = 20
 CHUNK = 1 << (_LOW - 1)
@@ -135,22 +135,25 @@ def _judge(batches):
     """Stretches of a shard, sorted by gram, in; the ranges that repeat out. Grams
     stay together, as many at once as SORT_BYTES hold."""
     held: list = []
+    done: list = []
     size = 0
 
-    def flush():
-        spans = repeated([r[3] for r in held], [r[2] for r in held])
-        keep = [(r[0], r[1], s) for r, s in zip(held, spans) if s]
-        return pd.DataFrame({"h": [k[0] for k in keep], "c": [k[1] for k in keep], "ranges": [[{"a": a, "b": b} for a, b in k[2]] for k in keep]})
+    def sort() -> None:
+        done.extend((r[0], r[1], [{"a": a, "b": b} for a, b in s]) for r, s in zip(held, repeated([r[3] for r in held], [r[2] for r in held])) if s)
 
     for batch in batches:
         for row in zip(batch.h, batch.c, batch.n, batch.bytes):
             if held and row[0] != held[-1][0] and size >= SORT_BYTES:
-                yield flush()
+                sort()
                 held, size = [], 0
             held.append(row)
             size += len(row[3])
+        if len(done) >= 4096:
+            yield pd.DataFrame(done, columns=["h", "c", "ranges"])
+            done = []
     if held:
-        yield flush()
+        sort()
+    yield pd.DataFrame(done, columns=["h", "c", "ranges"])
 
 
 def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
