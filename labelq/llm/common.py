@@ -24,13 +24,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Folders that this driver has written to the shared one.
+_WRITTEN: list[str] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder every executor can read: the one that spark.checkpoint.dir names."""
+    """A new folder that every executor can read, with its file system's name, within the one
+    that spark.checkpoint.dir names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:  # a single machine, as in tests
         root = tempfile.mkdtemp(prefix="labelq-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/labelq-{uuid.uuid4().hex}"
+    path, fs = _hadoop(spark, f"{root.rstrip('/')}/labelq-{uuid.uuid4().hex}")
+    _WRITTEN.append(fs.makeQualified(path).toString())
+    return _WRITTEN[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what the operators have written to the shared folder. Results that were not
+    written elsewhere cannot be read afterwards."""
+    while _WRITTEN:
+        path, fs = _hadoop(spark, _WRITTEN.pop())
+        fs.delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
