@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark
+"""Corpus pipeline: language ID, line dedup, near-dedup by word shingles, benchmark
 decontamination and source mixing, each over all that the stage before kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelq.llm import common, decontam, langid, lines, mixing, simhash
+from labelq.llm import common, decontam, langid, lines, mixing, shingles
 
 #: Confidence below which a document has no language that can be told.
 LEAST_SCORE = 0.3
@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked fingerprints the document of smallest id."""
-    return simhash.one_of_each(docs)
+    """Keep of each group of texts linked at 0.8 of their five-word shingles the document of smallest id."""
+    return shingles.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
