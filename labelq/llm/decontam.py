@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so that a question with othe
 parameters keeps its template. Windows of template words of documents and of
 benchmark items meet in a hash join; along each alignment the slots must be
 filled consistently: one value of the item always stands for the same value of
-the document.
+the document. Windows of the words themselves meet too, at every position: a verbatim
+passage counts however few literal words it has and whatever other slots hold.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SIGNS = "%$€£¥°"
 _ENDS = ".!?:;\n\"“”«»()[]"
 _U = np.uint64
 _NUM, _UNIT, _NAME = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD1B54A32D192ED03)
+_VERBATIM = _U(0x8CB92BA72F3D8DD7)
 _tables: dict | None = None
 
 
@@ -56,7 +58,8 @@ def _kinds() -> dict:
 
 
 def _tokens(text: str) -> dict:
-    """Words of a text: hash, kind, whether capitalised, whether first of a sentence."""
+    """Words of a text: hash, kind, whether capitalised, whether first of a sentence, whether
+    the second letter is a capital too."""
     t = _tables
     low = text.lower()
     if len(low) != len(text):
@@ -70,7 +73,7 @@ def _tokens(text: str) -> dict:
     first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 3)
     start = np.flatnonzero(first)
     if not len(start):
-        return {"hash": np.zeros(0, _U), "kind": np.zeros(0, np.uint8), "capital": np.zeros(0, bool), "initial": np.zeros(0, bool)}
+        return {"hash": np.zeros(0, _U), "kind": np.zeros(0, np.uint8), "capital": np.zeros(0, bool), "initial": np.zeros(0, bool), "loud": np.zeros(0, bool)}
     lower = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.flatnonzero(kind > 0)
     word = np.cumsum(first)[inside] - 1
@@ -83,7 +86,8 @@ def _tokens(text: str) -> dict:
     initial = np.concatenate(([True], at[1:] > at[:-1]))
     follow = np.minimum(start + 1, len(code) - 1)
     capital = t["upper"][code[start]] & (kind[follow] == 1) & ~t["upper"][code[follow]] & (follow > start)
-    return {"hash": hashes, "kind": kind[start], "capital": capital, "initial": initial}
+    loud = t["upper"][code[follow]] & (kind[follow] == 1) & (kind[start] == 1) & (follow > start)
+    return {"hash": hashes, "kind": kind[start], "capital": capital, "initial": initial, "loud": loud}
 
 
 def template(text: str | None) -> dict:
@@ -96,7 +100,7 @@ def template(text: str | None) -> dict:
     number, sign = kind == 2, kind == 3
     unit = sign | ((kind == 1) & np.isin(h, _tables["units"]) & np.concatenate(([False], number[:-1]))) if len(h) else sign
     name = w["capital"] & ~w["initial"] & ~unit
-    out = {"hash": h, "maybe": w["capital"] & w["initial"] & ~unit}
+    out = {"hash": h, "exact": h + w["loud"] * _VERBATIM, "maybe": w["capital"] & w["initial"] & ~unit}
     base = np.where(number, _NUM, np.where(unit, _UNIT, h))
     out["plain"], out["plain_slot"] = np.where(name, _NAME, base), number | unit | name
     both = name | out["maybe"]
@@ -126,12 +130,24 @@ def windows(t: dict, size: int):
         yield variant, at, _mix(total[at] + _U(size))
 
 
+def verbatim(t: dict, size: int) -> np.ndarray:
+    """Hash of the words themselves, but for the case of their first letters, of the window
+    at every position."""
+    n = len(t["hash"]) - size + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    total = np.zeros(n, _U)
+    for k in range(size):
+        total += t["exact"][k:k + n] * _tables["win"][k]
+    return _mix(total ^ _VERBATIM) + _U(size)
+
+
 def _slots(t: dict, variant: int, at: int, size: int) -> list[int]:
     slot = t["named_slot" if variant else "plain_slot"][at:at + size]
     return t["hash"][at:at + size][slot].view(np.int64).tolist()
 
 
-_COLUMNS = ["id", "pos", "h", "slots"]
+_COLUMNS = ["id", "pos", "h", "slots", "exact"]
 
 
 def _rows_of(ids, texts, sizes, keep=None) -> pd.DataFrame:
@@ -143,7 +159,10 @@ def _rows_of(ids, texts, sizes, keep=None) -> pd.DataFrame:
                 if keep is not None and len(at):
                     hit = keep(h)
                     at, h = at[hit], h[hit]
-                out += [(i, int(a), int(x), _slots(t, variant, int(a), size)) for a, x in zip(at, h.view(np.int64))]
+                out += [(i, int(a), int(x), _slots(t, variant, int(a), size), False) for a, x in zip(at, h.view(np.int64))]
+            h = verbatim(t, size)
+            at = np.arange(len(h)) if keep is None else np.flatnonzero(keep(h))
+            out += [(i, int(a), int(x), [], True) for a, x in zip(at, h[at].view(np.int64))]
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
@@ -170,9 +189,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
     with another value than the item's).
 
     A document holds an item when it has ``least`` of the item's windows of five
-    template words, or a run of ``run`` words, under consistent slots. Items shorter
-    than a window count whole; items with fewer than three literal words (or fewer
-    than all, where shorter) match nothing. Null and empty texts hold nothing and
+    template words, or of all its windows of five words, or a run of ``run`` words. A
+    window is found by its template under consistent slots, or word for word, but for the
+    case of first letters, whatever the other slots hold. Windows with fewer than three literal words (or fewer than
+    all, where shorter) have no template and are found word for word only. Items shorter
+    than a window count whole. Coverage is the greater of the two shares. Null and empty texts hold nothing and
     are held nowhere. Rows that share an id are judged as one document; equal items
     are each reported. Empty tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
@@ -182,16 +203,17 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
 
     def item_rows(batches):
         for b in batches:
-            parts = [pd.DataFrame(columns=[*_COLUMNS, "size", "total"])]
+            parts = [pd.DataFrame(columns=[*_COLUMNS, "size", "total", "places", "typed"])]
             for i, text in zip(b.id, b.text):
                 n = len(template(text)["hash"])
                 size = min(n, WINDOW)
                 if size:
                     rows = _rows_of([i], [text], [size])
-                    parts.append(rows.assign(size=size, total=rows.pos.nunique()))
-            yield pd.concat(parts).astype({"size": int, "total": int, "pos": int})
+                    typed = rows.pos[~rows.exact.astype(bool)].unique()
+                    parts.append(rows.assign(size=size, total=len(typed), places=rows.pos.nunique(), typed=rows.pos.isin(typed)))
+            yield pd.concat(parts).astype({"size": int, "total": int, "places": int, "pos": int, "exact": bool, "typed": bool})
 
-    bench = materialise(items.mapInPandas(item_rows, f"id {item_kind}, pos int, h long, slots array<long>, size int, total int"))
+    bench = materialise(items.mapInPandas(item_rows, f"id {item_kind}, pos int, h long, slots array<long>, exact boolean, size int, total int, places int, typed boolean"))
     sizes = sorted({WINDOW, *(r[0] for r in bench.select("size").distinct().collect())})
     n_digests = bench.select("h").distinct().count()
     digests = None
@@ -204,19 +226,23 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
         for b in batches:
             yield _rows_of(b.id, b.text, sizes, keep)
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(doc_rows, f"id {kind}, pos int, h long, slots array<long>")
-    i = bench.select(F.col("h"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total", "size")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(doc_rows, f"id {kind}, pos int, h long, slots array<long>, exact boolean").drop("exact")
+    i = bench.select(F.col("h"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "exact", "total", "places", "typed", "size")
     met = d.join(maybe_broadcast(i, n_digests, 256), "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # along one alignment: at most the item's windows, so these sets are bounded by its length
     fill = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    lines = met.groupBy("id", "item_id", "shift", "total", "size").agg(F.sort_array(F.collect_set("item_pos")).alias("found"), F.array_distinct(F.flatten(F.collect_set(fill))).alias("fills"))
+    places = lambda c: F.collect_set(F.when(c, F.col("item_pos")))
+    lines = met.groupBy("id", "item_id", "shift", "total", "places", "size").agg(
+        places(~F.col("exact")).alias("alike"), places(F.col("exact")).alias("same"), places(F.col("typed")).alias("typed"), F.array_distinct(F.flatten(F.collect_set(fill))).alias("fills"))
     consistent = F.size(F.array_distinct(F.transform("fills", lambda s: s["item"]))) == F.size("fills")
     long = F.exists("found", lambda p: F.forall(F.sequence(p, p + F.greatest(F.lit(run) - F.col("size"), F.lit(0))), lambda q: F.array_contains("found", q)))
-    lines = lines.where(consistent).withColumn("long", (F.lit(run) > F.col("size")) & long)
+    lines = lines.withColumn("found", F.when(consistent, F.array_union("alike", "same")).otherwise(F.col("same")))
+    lines = lines.withColumn("long", (F.lit(run) > F.col("size")) & long)
     lines = lines.withColumn("changed", F.size(F.filter("fills", lambda s: s["item"] != s["doc"])))
-    whole = lines.select("id", "item_id", "total", "long", "changed", F.explode("found").alias("p")).groupBy("id", "item_id", "total").agg(
-        F.count_distinct("p").alias("windows"), F.max("long").alias("long"), F.min("changed").alias("changed"))
-    whole = whole.withColumn("coverage", F.col("windows") / F.col("total")).where((F.col("coverage") >= least) | F.col("long"))
+    whole = lines.select("id", "item_id", "total", "places", "long", "changed", "typed", F.explode("found").alias("p")).groupBy("id", "item_id", "total", "places").agg(
+        F.count_distinct("p").alias("windows"), F.count_distinct(F.when(F.array_contains("typed", F.col("p")), F.col("p"))).alias("own"), F.max("long").alias("long"), F.min("changed").alias("changed"))
+    share = F.greatest(F.when(F.col("total") > 0, F.col("own") / F.col("total")), F.col("windows") / F.col("places"))  # a null counts for nothing
+    whole = whole.withColumn("coverage", share).where((F.col("coverage") >= least) | F.col("long"))
     return whole.select(F.col("id").alias("doc_id"), "item_id", "windows", "coverage", "changed")
 
 

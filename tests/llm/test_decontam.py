@@ -78,3 +78,20 @@ def test_awkward_tables(spark):
     assert not found(spark, frame(spark, [])) and not found(spark, frame(spark, rows), [(1, None)])
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contaminated(frame(spark, rows), bench).count() == 0
+
+
+def test_verbatim_items_dense_in_values(spark):
+    items = [(0, "What is 12 + 7 * 3?"), (1, "Compute 12 times 7"), (2, "The Old Man And The Sea By Ernest Hemingway"),
+             (3, "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 to the given list of the numbers here")]
+    run = " ".join(map(str, range(1, 15)))
+    docs = [row(1, "He asked: what is 12 + 7 * 3? Nobody knew."), row(2, "Please compute 12 times 7 now"), row(3, "Yesterday we read The Old Man And The Sea By Ernest Hemingway aloud"),
+            row(4, f"count {run} and stop"), row(5, "What is 13 + 8 * 4? Compute 13 times 8"), row(6, "count 1 2 3 4 5 6 7 8 9 and stop")]
+    assert set(found(spark, frame(spark, docs), items)) == {(1, 0), (2, 1), (3, 2), (4, 3)}
+
+
+def test_verbatim_windows_count_beside_a_conflicting_slot(spark):
+    item = "they take 12 of the stones from under the old garden wall and carry them over to the new house where 12 men wait"
+    docs = [row(1, item[::-1].replace("21", "31", 1)[::-1]), row(2, item), row(3, "they take 15 of the stones and 16 men wait")]
+    assert docs[0][1].endswith("where 13 men wait")
+    got = found(spark, frame(spark, docs), [(0, item)])
+    assert set(got) == {(1, 0), (2, 0)} and got[2, 0].changed == 0
