@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of text handed to Python at once; texts may be megabytes long.
@@ -35,13 +35,20 @@ def _hadoop(spark: SparkSession, path: str):
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor can read, with its file system's name, within the one
-    that spark.checkpoint.dir names."""
+    that spark.checkpoint.dir names. It goes when the application ends.
+
+    Without that setting a run on one machine gets a temporary folder; a cluster is
+    refused, since its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # a single machine, as in tests
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="labelq-")
         spark.conf.set("spark.checkpoint.dir", root)
     path, fs = _hadoop(spark, f"{root.rstrip('/')}/labelq-{uuid.uuid4().hex}")
     _WRITTEN.append(fs.makeQualified(path).toString())
+    fs.deleteOnExit(path)
     return _WRITTEN[-1]
 
 
@@ -59,7 +66,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._labelq_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_labelq_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            p, fs = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -68,11 +87,30 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``gone`` (one column); null ids stay. The ids are
-    broadcast only where their number is counted to be small."""
-    gone = materialise(gone.toDF("__gone").distinct())
-    return docs.join(maybe_broadcast(gone, gone.count(), 32), docs[id_col] == gone["__gone"], "left_anti")
+def text_key(text_col) -> Column:
+    """Digest of a text. With its id it names a document: ids may repeat or be missing."""
+    return F.xxhash64(F.col(text_col).cast("string") if isinstance(text_col, str) else text_col.cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text digest are not in ``gone`` (id, key), where a null id
+    equals a null id. ``gone`` is broadcast only where its number is counted to be small."""
+    gone = materialise(gone.toDF("__id", "__key").distinct())
+    same = docs[id_col].eqNullSafe(gone["__id"]) & (text_key(docs[text_col]) == gone["__key"])
+    return docs.join(maybe_broadcast(gone, gone.count(), 48), same, "left_anti")
+
+
+def only_first(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each id and text digest in ``repeated`` (id, key); other rows
+    stay as they are. Of rows that differ in further columns any one stays."""
+    repeated = materialise(repeated.toDF("__id", "__key").distinct())
+    n = repeated.count()
+    if not n:
+        return docs
+    side = maybe_broadcast(repeated, n, 48)
+    same = docs[id_col].eqNullSafe(side["__id"]) & (text_key(docs[text_col]) == side["__key"])
+    one = docs.join(side, same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(side, same, "left_anti").unionByName(one)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -100,11 +138,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = materialise(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = tidy(e.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.where("m < a").select("a", F.col("m").alias("b"))))
-        large = materialise(large)
+        large, old = materialise(large), [edges, low]
         low = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
         edges = materialise(tidy(small))
+        discard(*old, large, low)
         now = stamp(edges)
         if now == seen:
             break

@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation (operator 2).
 
 Numbers, names and units become typed placeholders, so that a question with other
-parameters keeps its template. Windows of template words of documents and of
-benchmark items meet in a hash join; along each alignment the slots must be
+parameters keeps its template: a run of name words is one name, a number with its unit
+or currency sign, in digits or words, is one quantity. Windows of template words of
+documents and of benchmark items meet in a hash join; along each alignment the slots must be
 filled consistently: one value of the item always stands for the same value of
-the document. Windows of the words themselves meet too, at every position: a verbatim
-passage counts however few literal words it has and whatever other slots hold.
+the document, and windows that break with it are dropped. Windows of the words themselves
+meet too, at every position: a verbatim passage counts however few literal words it has
+and whatever other slots hold.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import BROADCAST_BYTES, maybe_broadcast, materialise, small_batches, table
+from labelq.llm.common import BROADCAST_BYTES, maybe_broadcast, materialise, small_batches, table, text_key
 
 #: Words of a window, those of them that must not be placeholders, the share of an
 #: item's windows that marks a document, and the run of words that does so alone.
@@ -25,9 +27,15 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton ton
          "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
          "mph kph km/h cent cents dollar dollars euro euros usd eur gbp percent degree degrees hz khz mhz ghz w kw kwh v j kj cal kcal pa kpa bar byte bytes kb mb gb tb").split()
 SIGNS = "%$€£¥°"
+#: Number words and their digits; currency words and their signs.
+NUMBERS = dict(zip(("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+                    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split(),
+                   (*map(str, range(21)), "30", "40", "50", "60", "70", "80", "90", "100", "1000", "1000000", "1000000000")))
+CURRENCY = {"dollar": "$", "dollars": "$", "usd": "$", "euro": "€", "euros": "€", "eur": "€", "gbp": "£", "percent": "%"}
 _ENDS = ".!?:;\n\"“”«»()[]"
 _U = np.uint64
-_NUM, _UNIT, _NAME = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD1B54A32D192ED03)
+#: Stand for a number, a unit, a number with a unit, and a name.
+_TYPES = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0xD1B54A32D192ED03], _U)
 _VERBATIM = _U(0x8CB92BA72F3D8DD7)
 _tables: dict | None = None
 
@@ -53,7 +61,11 @@ def _kinds() -> dict:
         end = np.zeros(n, bool)
         end[[ord(c) for c in _ENDS]] = True
         _tables = {"kind": kind, "upper": np.fromiter((chr(c).isupper() for c in range(n)), bool, n), "end": end, "pow": _powers(64, 1), "win": _powers(64, 2)}
-        _tables["units"] = np.sort(np.concatenate([_tokens(u)["hash"] for u in UNITS if u.isalpha()]))
+        word = lambda x: _tokens(x)["hash"][0]
+        _tables["units"] = np.sort([word(u) for u in UNITS if u.isalpha()])
+        _tables["numbers"] = np.sort([word(x) for x in NUMBERS])
+        same = sorted((word(x), word(y)) for x, y in [*NUMBERS.items(), *CURRENCY.items()])
+        _tables["from"], _tables["to"] = (np.array(x, _U) for x in zip(*same))
     return _tables
 
 
@@ -91,40 +103,57 @@ def _tokens(text: str) -> dict:
 
 
 def template(text: str | None) -> dict:
-    """Template of a whole text: ``hash`` of each word, ``plain`` and ``named`` template
-    words (a capitalised first word of a sentence is itself in one, a name in the
-    other) and which words of each are placeholders."""
+    """Words of a whole text and its two templates.
+
+    ``exact``: hash of each word but for the case of its first letter; ``lit``: the number of
+    words before it that are literal in any template, a coordinate that slots of several
+    words leave as it is. ``plain`` and ``named``: template words (a capitalised first word of a
+    sentence is itself in the one, a name in the other), each with its hash, the value in
+    its slot, whether it is a slot, whether the other template differs there, and its first word."""
     _kinds()
     w = _tokens(text or "")
     h, kind = w["hash"], w["kind"]
-    number, sign = kind == 2, kind == 3
-    unit = sign | ((kind == 1) & np.isin(h, _tables["units"]) & np.concatenate(([False], number[:-1]))) if len(h) else sign
-    name = w["capital"] & ~w["initial"] & ~unit
-    out = {"hash": h, "exact": h + w["loud"] * _VERBATIM, "maybe": w["capital"] & w["initial"] & ~unit}
-    base = np.where(number, _NUM, np.where(unit, _UNIT, h))
-    out["plain"], out["plain_slot"] = np.where(name, _NAME, base), number | unit | name
-    both = name | out["maybe"]
-    out["named"], out["named_slot"] = np.where(both, _NAME, base), number | unit | both
+    if not len(h):
+        none = {k: np.zeros(0, t) for k, t in (("hash", _U), ("value", _U), ("slot", bool), ("maybe", bool), ("first", int))}
+        return {"exact": h, "lit": np.zeros(0, int), "plain": none, "named": none}
+    number = (kind == 2) | np.isin(h, _tables["numbers"])
+    after = np.concatenate(([False], number[:-1]))
+    unit = (kind == 3) | ((kind == 1) & after & np.isin(h, _tables["units"]))
+    cased = w["capital"] & ~unit & ~number
+    at = np.minimum(np.searchsorted(_tables["from"], h), len(_tables["from"]) - 1)
+    value = np.where(_tables["from"][at] == h, _tables["to"][at], h)
+    literal = ~(cased | unit | number)
+    out = {"exact": h + w["loud"] * _VERBATIM, "lit": np.cumsum(literal) - literal}
+    for variant, name in (("plain", cased & ~w["initial"]), ("named", cased)):
+        group = np.where(number | unit, 1, np.where(name, 2, 0))
+        new = np.concatenate(([True], (group[1:] == 0) | (group[1:] != group[:-1]) | w["initial"][1:]))
+        first = np.flatnonzero(new)
+        flags = np.bitwise_or.reduceat(number * 1 | unit * 2 | name * 4, first)
+        slot = flags > 0
+        own = np.add.reduceat(value, first)
+        out[variant] = {"hash": np.where(slot, _TYPES[flags], h[first]), "value": own, "slot": slot,
+                        "maybe": np.logical_or.reduceat(cased & w["initial"], first), "first": first}
     return out
 
 
 def windows(t: dict, size: int):
-    """(position, window hash, variant) of all windows with enough literal words; the
-    second variant only where it differs."""
-    n = len(t["hash"]) - size + 1
-    if n <= 0:
-        return
+    """(variant, place in the template, window hash) of all windows of the templates with enough
+    literal words; the second variant only where it differs."""
     pw = _tables["win"][:size]
-    for variant, name in enumerate(("plain", "named")):
+    for variant in ("plain", "named"):
+        v = t[variant]
+        n = len(v["hash"]) - size + 1
+        if n <= 0:
+            continue
         total = np.zeros(n, _U)
         lit = np.zeros(n, np.int16)
         differs = np.zeros(n, bool)
         for k in range(size):
-            total += t[name][k:k + n] * pw[k]
-            lit += ~t[f"{name}_slot"][k:k + n]
-            differs |= t["maybe"][k:k + n]
+            total += v["hash"][k:k + n] * pw[k]
+            lit += ~v["slot"][k:k + n]
+            differs |= v["maybe"][k:k + n]
         ok = lit >= min(size, LITERALS)
-        if variant:
+        if variant == "named":
             ok &= differs
         at = np.flatnonzero(ok)
         yield variant, at, _mix(total[at] + _U(size))
@@ -133,7 +162,7 @@ def windows(t: dict, size: int):
 def verbatim(t: dict, size: int) -> np.ndarray:
     """Hash of the words themselves, but for the case of their first letters, of the window
     at every position."""
-    n = len(t["hash"]) - size + 1
+    n = len(t["exact"]) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
     total = np.zeros(n, _U)
@@ -142,30 +171,51 @@ def verbatim(t: dict, size: int) -> np.ndarray:
     return _mix(total ^ _VERBATIM) + _U(size)
 
 
-def _slots(t: dict, variant: int, at: int, size: int) -> list[int]:
-    slot = t["named_slot" if variant else "plain_slot"][at:at + size]
-    return t["hash"][at:at + size][slot].view(np.int64).tolist()
-
+_COLUMNS = ["id", "key", "pos", "lit", "h", "slots", "exact"]
 
-_COLUMNS = ["id", "pos", "h", "slots", "exact"]
 
-
-def _rows_of(ids, texts, sizes, keep=None) -> pd.DataFrame:
+def _rows_of(ids, keys, texts, sizes, keep=None) -> pd.DataFrame:
     out = []
-    for i, text in zip(ids, texts):
+    for i, key, text in zip(ids, keys, texts):
         t = template(text)
+        lit = t["lit"]
         for size in sizes:
             for variant, at, h in windows(t, size):
+                v = t[variant]
                 if keep is not None and len(at):
                     hit = keep(h)
                     at, h = at[hit], h[hit]
-                out += [(i, int(a), int(x), _slots(t, variant, int(a), size), False) for a, x in zip(at, h.view(np.int64))]
+                for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                    filled = v["value"][a:a + size][v["slot"][a:a + size]]
+                    p = int(v["first"][a])
+                    out.append((i, key, p, int(lit[p]), x, filled.view(np.int64).tolist(), False))
             h = verbatim(t, size)
             at = np.arange(len(h)) if keep is None else np.flatnonzero(keep(h))
-            out += [(i, int(a), int(x), [], True) for a, x in zip(at, h[at].view(np.int64))]
+            out += [(i, key, p, int(lit[p]), x, [], True) for p, x in zip(at.tolist(), h[at].view(np.int64).tolist())]
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
+def judge_alignment(found, size: int, run: int) -> tuple[dict, bool, int]:
+    """Of the windows of one alignment: the positions that stand (and whether they have a
+    template), whether they hold a run of ``run`` words, and the slots filled otherwise than the item's.
+
+    Each value of the item takes the document's value that most windows give it, its own
+    before others; windows that give another one are dropped unless they are verbatim."""
+    votes: dict = {}
+    for x in found:
+        for f in x["fill"]:
+            own = votes.setdefault(f["item"], {})
+            own[f["doc"]] = own.get(f["doc"], 0) + 1
+    chosen = {item: max(docs, key=lambda d: (docs[d], d == item, d)) for item, docs in votes.items()}
+    stand = {int(x["pos"]): bool(x["typed"]) for x in found if x["exact"] or all(chosen[f["item"]] == f["doc"] for f in x["fill"])}
+    length, last, long = 0, None, False
+    for p in sorted(stand):
+        length = length + 1 if last is not None and p == last + 1 else 1
+        last = p
+        long |= run > size and length >= run - size + 1
+    return stand, long, sum(d != i for i, d in chosen.items())
+
+
 def _membership(digests: np.ndarray):
     """Test of window hashes against the sorted digests, behind a table of their leading bits."""
     table_ = np.zeros(1 << 22, bool)
@@ -184,17 +234,18 @@ def _membership(digests: np.ndarray):
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
                       least: float = LEAST, run: int = RUN) -> DataFrame:
-    """One row per document and benchmark item that the document holds: doc_id, item_id,
-    windows (item windows found), coverage (their share) and changed (slots filled
-    with another value than the item's).
+    """One row per document and benchmark item that the document holds: doc_id, key (the digest
+    of its text), item_id, windows (item windows found), coverage (their share) and changed
+    (slots filled with another value than the item's).
 
     A document holds an item when it has ``least`` of the item's windows of five
     template words, or of all its windows of five words, or a run of ``run`` words. A
     window is found by its template under consistent slots, or word for word, but for the
-    case of first letters, whatever the other slots hold. Windows with fewer than three literal words (or fewer than
-    all, where shorter) have no template and are found word for word only. Items shorter
-    than a window count whole. Coverage is the greater of the two shares. Null and empty texts hold nothing and
-    are held nowhere. Rows that share an id are judged as one document; equal items
+    case of first letters, whatever the other slots hold. Windows with fewer than three literal
+    words (or fewer than all, where shorter) have no template and are found word for word only.
+    Items shorter than a window count whole. Coverage is the greater of the two shares. Null and
+    empty texts hold nothing and are held nowhere. Documents are told apart by id and text: rows
+    alike in both are one, rows without an id are judged by their texts; equal items
     are each reported. Empty tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -205,15 +256,16 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
         for b in batches:
             parts = [pd.DataFrame(columns=[*_COLUMNS, "size", "total", "places", "typed"])]
             for i, text in zip(b.id, b.text):
-                n = len(template(text)["hash"])
-                size = min(n, WINDOW)
+                size = min(len(template(text)["exact"]), WINDOW)
                 if size:
-                    rows = _rows_of([i], [text], [size])
+                    rows = _rows_of([i], [0], [text], [size])
                     typed = rows.pos[~rows.exact.astype(bool)].unique()
                     parts.append(rows.assign(size=size, total=len(typed), places=rows.pos.nunique(), typed=rows.pos.isin(typed)))
-            yield pd.concat(parts).astype({"size": int, "total": int, "places": int, "pos": int, "exact": bool, "typed": bool})
+            kinds = {"size": int, "total": int, "places": int, "pos": int, "lit": int, "key": int, "exact": bool, "typed": bool}
+            yield pd.concat(parts).astype(kinds)
 
-    bench = materialise(items.mapInPandas(item_rows, f"id {item_kind}, pos int, h long, slots array<long>, exact boolean, size int, total int, places int, typed boolean"))
+    window = "key long, pos int, lit int, h long, slots array<long>, exact boolean"
+    bench = materialise(items.mapInPandas(item_rows, f"id {item_kind}, {window}, size int, total int, places int, typed boolean"))
     sizes = sorted({WINDOW, *(r[0] for r in bench.select("size").distinct().collect())})
     n_digests = bench.select("h").distinct().count()
     digests = None
@@ -224,27 +276,34 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
     def doc_rows(batches):
         keep = None if digests is None else _membership(digests.value) if len(digests.value) else (lambda h: np.zeros(len(h), bool))
         for b in batches:
-            yield _rows_of(b.id, b.text, sizes, keep)
-
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(doc_rows, f"id {kind}, pos int, h long, slots array<long>, exact boolean").drop("exact")
-    i = bench.select(F.col("h"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "exact", "total", "places", "typed", "size")
-    met = d.join(maybe_broadcast(i, n_digests, 256), "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    # along one alignment: at most the item's windows, so these sets are bounded by its length
+            yield _rows_of(b.id, b.key, b.text, sizes, keep)
+
+    d = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    d = d.mapInPandas(doc_rows, f"id {kind}, {window}").drop("exact", "pos")
+    i = bench.select("h", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("lit").alias("item_lit"),
+                     F.col("slots").alias("item_slots"), "exact", "total", "places", "typed", "size")
+    met = d.join(maybe_broadcast(i, bench.count(), 256), "h").withColumn("shift", F.col("lit") - F.col("item_lit"))
+    # along one alignment: at most the item's windows, so this set is bounded by its length
     fill = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    places = lambda c: F.collect_set(F.when(c, F.col("item_pos")))
-    lines = met.groupBy("id", "item_id", "shift", "total", "places", "size").agg(
-        places(~F.col("exact")).alias("alike"), places(F.col("exact")).alias("same"), places(F.col("typed")).alias("typed"), F.array_distinct(F.flatten(F.collect_set(fill))).alias("fills"))
-    consistent = F.size(F.array_distinct(F.transform("fills", lambda s: s["item"]))) == F.size("fills")
-    long = F.exists("found", lambda p: F.forall(F.sequence(p, p + F.greatest(F.lit(run) - F.col("size"), F.lit(0))), lambda q: F.array_contains("found", q)))
-    lines = lines.withColumn("found", F.when(consistent, F.array_union("alike", "same")).otherwise(F.col("same")))
-    lines = lines.withColumn("long", (F.lit(run) > F.col("size")) & long)
-    lines = lines.withColumn("changed", F.size(F.filter("fills", lambda s: s["item"] != s["doc"])))
-    whole = lines.select("id", "item_id", "total", "places", "long", "changed", "typed", F.explode("found").alias("p")).groupBy("id", "item_id", "total", "places").agg(
-        F.count_distinct("p").alias("windows"), F.count_distinct(F.when(F.array_contains("typed", F.col("p")), F.col("p"))).alias("own"), F.max("long").alias("long"), F.min("changed").alias("changed"))
+    found = F.collect_set(F.struct(F.col("item_pos").alias("pos"), "exact", "typed", fill.alias("fill")))
+    lines = met.groupBy("id", "key", "item_id", "shift", "total", "places", "size").agg(found.alias("found"))
+
+    def align(batches):
+        for b in batches:
+            out = []
+            for i, key, item, total, places, size, w in zip(b.id, b.key, b.item_id, b.total, b.places, b["size"], b.found):
+                stand, long, changed = judge_alignment(w, int(size), run)
+                out += [(i, key, item, total, places, p, typed, long, changed) for p, typed in stand.items()]
+            yield pd.DataFrame(out, columns=["id", "key", "item_id", "total", "places", "p", "typed", "long", "changed"])
+
+    each = lines.mapInPandas(align, f"id {kind}, key long, item_id {item_kind}, total int, places int, p int, typed boolean, long boolean, changed int")
+    whole = each.groupBy("id", "key", "item_id", "total", "places").agg(
+        F.count_distinct("p").alias("windows"), F.count_distinct(F.when(F.col("typed"), F.col("p"))).alias("own"),
+        F.max("long").alias("long"), F.min("changed").alias("changed"))
     share = F.greatest(F.when(F.col("total") > 0, F.col("own") / F.col("total")), F.col("windows") / F.col("places"))  # a null counts for nothing
     whole = whole.withColumn("coverage", share).where((F.col("coverage") >= least) | F.col("long"))
-    return whole.select(F.col("id").alias("doc_id"), "item_id", "windows", "coverage", "changed")
+    return whole.select(F.col("id").alias("doc_id"), "key", "item_id", "windows", "coverage", "changed")
 
 
 def op2_decontamination(spark, sf_dir):
-    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

@@ -280,7 +280,10 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     told = firsts.join(near.withColumnRenamed("id", "near_id"), F.col("id") == F.col("near_id"), "left").where("n > 1 or links > 0")
     told = told.select("id", "check", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later"))
     marks = places.join(told, ["id", "check"]).withColumn("gone", F.col("later") | (spot != F.col("first")))
-    marks = marks.groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("n_links"))
+    # rows alike in id and text bring the same lines: each counts once
+    marks = marks.groupBy("doc_id", "key").agg(F.collect_set(F.struct("no", "gone", "links")).alias("marks"))
+    marks = marks.select("doc_id", "key", F.transform(F.filter("marks", lambda m: m["gone"]), lambda m: m["no"]).alias("gone"),
+                         F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + m["links"]).alias("n_links"))
     marks = marks.select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), "gone", "n_links")
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     own, text = F.col("row")[id_col], _text(F.col("row")[text_col])

@@ -1,11 +1,11 @@
-"""Near-duplicates by exact similarity of word shingles, for the pipeline.
+"""Pairs of texts by exact similarity of their word shingles: the second pass of operator 5.
 
-Texts are sets of hashed five-word shingles. Texts that agree on one of BANDS bands
+Texts are sets of hashed shingles. Texts that agree on one of BANDS bands
 of ROWS min-hashes meet in a bucket; a pair at similarity 0.8 misses all of them
 with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. In a bucket all texts
 are first compared with one of them; then, in rounds with ever more of them, texts
 of different components are, until each such pair has been. A pair links when the
-Jaccard similarity of its whole sets is LEAST or more.
+Jaccard similarity of its whole sets is high enough.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import connected_components, maybe_broadcast, materialise, small_batches, without
+from labelq.llm.common import connected_components, discard, materialise, maybe_broadcast
 
-#: Words of a shingle, and similarity that links two texts.
-WORDS, LEAST = 5, 0.8
 #: Bands that two texts may meet in, and min-hashes that must agree in one.
 BANDS, ROWS = 32, 5
 #: Shingles that are permuted at once: BANDS * ROWS columns of them stay in a core's cache.
@@ -29,10 +27,11 @@ _TURN, _FOLD = (_draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64
 _BAND = _draw.integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a whole text; a text of fewer words is
-    one shingle, a text without words has none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # as simhash.fingerprint
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, repeats included; a text of fewer words is
+    one shingle, a text without words has none. Only ASCII letters change their case, only
+    ASCII white space parts words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
     data = b" ".join(parts)
@@ -40,7 +39,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     starts = (ends - [len(p) + 1 for p in parts]).tolist()
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(data[a:b], 42) for a, b in zip(starts, (ends[-n:] - 1).tolist())], np.uint64))
+    return np.array([digest(data[a:b], seed) for a, b in zip(starts, (ends[-n:] - 1).tolist())], np.uint64)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -64,8 +63,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are LEAST similar."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are ``least`` similar."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("ids").alias(f"{c}_ids"))
 
     def check(batches):
@@ -73,52 +72,56 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(p.a_ids, p.b_ids):
                 few, many = sorted((len(x), len(y)))
-                ok.append(few >= LEAST * many and similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= LEAST)
+                alike = few >= least * many and similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least
+                ok.append(alike)
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "b_ids").mapInPandas(check, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_ids", "b_ids").mapInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: id and component_id, the smallest id reachable through
-    texts whose sets of five-word shingles are at Jaccard similarity 0.8 or more.
+def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, ids): the sorted set of shingles of each node, from the text of its holder."""
+    def listed(batches):
+        for b in batches:
+            yield pd.DataFrame({"node": b.node, "ids": [np.unique(shingle_hashes(t, words)).tobytes() for t in b.text]})
 
-    Words are split at white space, ASCII letters in lower case. A text of fewer than
-    five words is one shingle; null texts and texts without words are alike. Equal
-    rows each get a row. An empty table gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    holders = materialise(nodes.select("node", F.col("holder.doc_id").alias("h_id"), F.col("holder.key").alias("h_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
+    held = texts.join(maybe_broadcast(holders, holders.count(), 48), same)
+    return materialise(held.select("node", "text").mapInPandas(listed, "node long, ids binary").dropDuplicates(["node"]))
 
-    def signed(batches):
-        for b in batches:
-            sets = [shingle_set(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64),
-                                "bands": [band_keys(s).view(np.int64) for s in sets]})
 
-    def listed(batches):
-        for b in batches:
-            yield pd.DataFrame({"node": b.node, "ids": [shingle_set(t).tobytes() for t in b.text]})
+def links(nodes: DataFrame, texts: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, root) of the nodes that have a link, the root being the smallest node of the
+    component.
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = materialise(texts.select("doc_id", "key", "text").mapInPandas(signed, f"doc_id {kind}, key long, node long, bands array<long>"))
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("holder"), F.first("bands").alias("bands")))
+    nodes: (node, holder, bands), the holder being the document (doc_id, key) whose text the
+    node's set comes from; texts: (doc_id, key, text); first: pairs (a, b) to be verified
+    before any others. A hot bucket is not worked off by pairs: once its texts are connected
+    with each other, no pair within a component is looked at."""
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     met = nodes.select("node", F.explode("bands").alias("k"))
     shared = met.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
     buckets = materialise(met.join(shared, "k"))
-    few = materialise(buckets.select("node").distinct())
-    few = maybe_broadcast(few, few.count(), 16)
-    holders = materialise(nodes.join(few, "node", "left_semi").select("node", F.col("holder.doc_id").alias("h_id"), F.col("holder.key").alias("h_key")))
-    held = texts.join(maybe_broadcast(holders, holders.count(), 32), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")))
-    sets = materialise(held.select("node", "text").mapInPandas(listed, "node long, ids binary").dropDuplicates(["node"]))
-
-    tested = materialise(buckets.where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())
-    links = materialise(_verified(tested, sets))
-    roots = materialise(connected_components(links))
+    few = materialise(buckets.select("node").union(first.select("a")).union(first.select("b")).distinct())
+    sets = _sets(nodes.join(maybe_broadcast(few, few.count(), 16), "node", "left_semi"), texts, words)
+
+    found = materialise(_verified(first, sets, least))
+    roots = materialise(connected_components(found))
+    # each text with the first one of its buckets, unless the two are connected already
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    pairs = buckets.where("node <> rep").select("node", "rep").distinct().join(root_of("node"), "node", "left").join(root_of("rep"), "rep", "left")
+    pairs = pairs.where(F.coalesce("node_root", "node") != F.coalesce("rep_root", "rep")).select(*ordered("node", "rep")).distinct()
+    tested = materialise(pairs.join(first, ["a", "b"], "left_anti"))
+    found = materialise(found.union(_verified(tested, sets, least)))
+    tested = materialise(tested.union(first))
+    roots = materialise(connected_components(found))
     reps = 4
     while True:
         own = buckets.where("n > 2").join(roots, "node", "left").select("k", "n", "node", F.coalesce("root", "node").alias("root"))
-        parts = own.groupBy("k", "root").agg(F.count("*").alias("size")).groupBy("k").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        parts = own.groupBy("k", "root").agg(F.count("*").alias("size"))
+        parts = parts.groupBy("k").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
         own = materialise(own.join(parts.select("k", F.col("most.root").alias("main")), "k"))  # buckets of several components
         most = own.agg(F.max("n")).first()[0]
         if most is None:
@@ -128,21 +131,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(reps)), F.col("n")) < reps  # noqa: E731, B023
         by_all = rest.drop("n").join(own.where(drawn("node")), "k").where("root <> other_root")
         by_rest = rest.where(drawn("other")).drop("n").join(own.where("root = main"), "k")
-        cols = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        cols = ordered("node", "other")
         pairs = materialise(by_all.select(*cols).union(by_rest.select(*cols)).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = materialise(links.union(_verified(pairs, sets)))
+        old = [found, tested, roots, own, pairs]
+        found = materialise(found.union(_verified(pairs, sets, least)))
         tested = materialise(tested.union(pairs))
-        roots = materialise(connected_components(links))
+        roots = materialise(connected_components(found))
+        discard(*old)
         if reps >= most:
             break
         reps *= 4
-    named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col="doc_id", **kw) -> DataFrame:
-    """The documents whose id is their component's; every column stays. Rows that
-    repeat an id all stay with it."""
-    return without(docs, near_duplicates(docs, id_col, **kw).where("doc_id <> component_id").select("doc_id"), id_col)
+    return roots

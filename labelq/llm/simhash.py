@@ -5,6 +5,9 @@ Hamming distance. A fingerprint has one home leaf; where its ball of the link
 radius crosses a boundary it also visits the leaf beyond, so that every linked
 pair meets in one leaf. A leaf searches its own tree, prunes branches by the
 triangle inequality, and returns a spanning forest of its links, not all pairs.
+
+near_texts() goes on from there to all texts at a similarity of their shingles: the
+links are verified, and a second pass finds pairs whose fingerprints lie further apart.
 """
 
 from __future__ import annotations
@@ -12,60 +15,97 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import connected_components, materialise, small_batches, table, without
+from labelq.llm import shingles
+from labelq.llm.common import connected_components, materialise, only_first, small_batches, table, text_key, without
 
 #: Fingerprints of a leaf that are compared block by block.
 LEAF = 4096
-#: Home fingerprints that a shard gets on average; the sample that vantage points come from.
-SHARD, SAMPLE = 16384, 8192
+#: Fingerprints that a shard gets on average, visitors included, and of the sample that vantage
+#: points come from: at least, for each shard, and at most.
+SHARD, SAMPLE, SAMPLE_PER_SHARD, SAMPLE_MOST = 32768, 8192, 32, 1 << 18
+#: Points that are tried as a vantage point, and levels of a tree at most.
+TRIED, LEVELS = 16, 40
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a whole text; 0 without words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
-    if not parts:
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Majority of each bit over the hashes of a text's shingles; 0 without any."""
+    if not len(hashes):
         return 0
-    data = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    starts = (ends - [len(p) + 1 for p in parts]).tolist()
-    n = max(1, len(parts) - words + 1)
-    stops = (ends[-n:] - 1).tolist()
     ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for k in range(0, n, 1 << 16):
-        h = np.array([digest(data[a:b], seed) for a, b in zip(starts[k:min(n, k + (1 << 16))], stops[k:])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    for k in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[k:k + (1 << 16)], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a whole text; 0 without words."""
+    return fingerprint_of(shingles.shingle_hashes(text, words, seed))
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def build_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
-    """Heap of (vantage point, radius): node i has children 2i + 1 (within) and 2i + 2.
-    A node whose points are all equally far from its vantage point stays a leaf."""
-    tree: list = [None] * (2 ** depth - 1)
-    todo = {0: np.sort(sample)}
+def choose(points: np.ndarray, home: np.ndarray, reach: int) -> tuple[int, int] | None:
+    """Vantage point and radius that part the points with the fewest visitors for what the
+    parting tells (copies against the entropy of the two sides); None if nothing parts them.
+
+    Only which points are compared depends on the choice, never which pairs are found."""
+    own = points[home]
+    if len(own) < 4:
+        return None
+    best = None
+    for v in own[np.linspace(0, len(own) - 1, min(TRIED, len(own))).astype(int)]:
+        within = np.cumsum(np.bincount(_distance(points, v), minlength=65)) / len(points)
+        for radius in range(64):
+            p = within[radius]
+            if not 0.05 <= p <= 0.95:
+                continue
+            visitors = within[min(64, radius + reach)] - p
+            if max(p + visitors, 1 - p) > 0.97:
+                continue
+            told = -(p * np.log(p) + (1 - p) * np.log(1 - p))
+            cost = (np.log1p(visitors) + 0.01) / told
+            if best is None or cost < best[0]:
+                best = (cost, int(v), radius)
+    return best and best[1:]
+
+
+def _part(points, home, at, split, reach):
+    """(indices, home) of the two sides. A pair across the boundary is found within it: only
+    points outside come along."""
+    d = _distance(points[at], np.uint64(split[0])).astype(int)
+    near = d <= split[1]
+    inner = near | (d <= split[1] + reach)
+    outer = ~near | (~home & (d > split[1] - reach))
+    return (at[inner], (home & near)[inner]), (at[outer], (home & ~near)[outer])
+
+
+def build_tree(sample: np.ndarray, n: int, reach: int, shard: int = SHARD) -> dict[int, tuple[int, int]]:
+    """(vantage point, radius) of each inner node; node i has children 2i + 1 (within) and
+    2i + 2. A node is parted until about ``shard`` of ``n`` points, by the sample, live in it
+    or visit it, or until nothing parts it."""
+    tree = {}
+    sample = np.sort(sample)
+    todo = [(0, 0, np.arange(len(sample)), np.ones(len(sample), bool))]
     while todo:
-        i, points = todo.popitem()
-        if i >= len(tree) or len(points) < 4:
+        node, level, at, home = todo.pop()
+        if level >= LEVELS or len(at) * n <= shard * len(sample) or len(at) < SAMPLE_PER_SHARD // 2:
             continue
-        d = _distance(points, points[len(points) // 2])
-        radius = int(np.sort(d)[(len(d) - 1) // 2])
-        if radius == d.max():
-            radius = int(d.min())
-        if radius == d.max():
+        split = choose(sample[at], home, reach)
+        if split is None:
             continue
-        tree[i] = (int(points[len(points) // 2]), radius)
-        todo[2 * i + 1], todo[2 * i + 2] = points[d <= radius], points[d > radius]
+        tree[node] = split
+        for k, side in enumerate(_part(sample, home, at, split, reach)):
+            todo.append((2 * node + 1 + k, level + 1, *side))
     return tree
 
 
-def deal(points: np.ndarray, tree: list, reach: int):
+def deal(points: np.ndarray, tree: dict, reach: int):
     """(leaf, index, home) of every leaf that each point lives in or visits."""
     todo = [(0, np.arange(len(points)), np.ones(len(points), bool))]
     out = []
@@ -73,17 +113,11 @@ def deal(points: np.ndarray, tree: list, reach: int):
         node, at, home = todo.pop()
         if not len(at):
             continue
-        if node >= len(tree) or tree[node] is None:
+        if node not in tree:
             out.append((np.full(len(at), node), at, home))
             continue
-        d = _distance(points[at], np.uint64(tree[node][0])).astype(int)
-        radius = tree[node][1]
-        near = d <= radius
-        # a pair across the boundary is found within: only points outside come along
-        go = near | (d <= radius + reach)
-        todo.append((2 * node + 1, at[go], (home & near)[go]))
-        go = ~near | (~home & (d > radius - reach))
-        todo.append((2 * node + 2, at[go], (home & ~near)[go]))
+        for k, side in enumerate(_part(points, home, at, tree[node], reach)):
+            todo.append((2 * node + 1 + k, *side))
     if not out:
         return (np.zeros(0, int),) * 2 + (np.zeros(0, bool),)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -108,70 +142,129 @@ def link_forest(points: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
         at, at_home = todo.pop()
         if not at_home.any():
             continue
-        if len(at) <= LEAF:
+        split = choose(points[at], at_home, reach) if len(at) > LEAF else None
+        if split is None:
             merge(at, at_home)
-            continue
-        own = points[at[at_home]]
-        tree = build_tree(own, 1)
-        if tree[0] is None:
-            merge(at, at_home)
-            continue
-        d = _distance(points[at], np.uint64(tree[0][0])).astype(int)
-        near = d <= tree[0][1]
-        go = d <= tree[0][1] + reach
-        todo.append((at[go], (at_home & near)[go]))
-        go = ~near | (~at_home & (d > tree[0][1] - reach))
-        todo.append((at[go], (at_home & ~near)[go]))
+        else:
+            todo += _part(points, at_home, at, split, reach)
     return label
 
 
+def tree_links(prints: DataFrame, reach: int = 4) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints ``prints`` (fp) that connect all that are at
+    ``reach`` or fewer differing bits. No fingerprints give no rows."""
+    n = prints.count()
+    size = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_SHARD * -(-n // SHARD)))
+    share = min(1.0, 2.0 * size / max(n, 1))  # a threshold on the hash: no task sorts all fingerprints
+    few = prints.where(F.xxhash64("fp") / 2.0 ** 64 + 0.5 <= share)
+    sample = few.orderBy(F.xxhash64("fp"), "fp").limit(size).select("fp").toPandas().fp.to_numpy(np.int64).view(np.uint64)
+    tree = build_tree(sample, n, reach)
+
+    def shard(batches):
+        for b in batches:
+            leaf, at, home = deal(b.fp.to_numpy(np.int64).view(np.uint64), tree, reach)
+            yield pd.DataFrame({"leaf": leaf, "fp": b.fp.to_numpy()[at], "home": home})
+
+    def links(pdf):
+        fp = pdf.fp.to_numpy(np.int64)
+        label = link_forest(fp.view(np.uint64), pdf.home.to_numpy(bool), reach)
+        moved = label != np.arange(len(fp))
+        return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
+
+    dealt = prints.select("fp").mapInPandas(shard, "leaf long, fp long, home boolean")
+    return dealt.groupBy("leaf").applyInPandas(links, "a long, b long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", text_key("text"))
+
+
+def _first() -> Column:
+    """The first document of a group: a document without an id comes last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str, *more: str) -> DataFrame:
+    """``rows`` with the smallest id of their component and its first document (id, key).
+    nodes: (node, holder), roots: (node, root) of nodes that have a link."""
+    named = nodes.join(roots.toDF("__node", "__root"), F.col(node) == F.col("__node"), "left").select(node, "holder", F.coalesce("__root", node).alias("root"))
+    first = named.groupBy("root").agg(F.min("holder").alias("first"))
+    named = named.join(first, "root").select(node, "first")
+    return rows.join(named, node).select("doc_id", "key", *more, F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, reach: int = 4) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the
-    smallest id reachable through fingerprints at ``reach`` or fewer differing bits.
+    smallest id reachable through fingerprints at ``reach`` or fewer differing bits;
+    key and first_key are the digests of the document's text and of the first one's.
 
     Null and empty texts have fingerprint zero and link like any other. Equal
-    rows each get a row. An empty table gives no rows; other columns are ignored.
-    The tree's vantage points come from a sample of at most SAMPLE fingerprints,
+    rows each get a row; a null id comes last. An empty table gives no rows; other columns are ignored.
+    The tree's vantage points come from a sample of at most SAMPLE_MOST fingerprints,
     which decides where points are compared and never which pairs are found."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
 
     def prints(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": np.array([fingerprint(t, words) for t in b.text], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "fp": np.array([fingerprint(t, words) for t in b.text], np.uint64).view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    fps = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(prints, f"doc_id {kind}, fp long"))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    n = nodes.count()
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / SHARD))))
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas().fp.to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(sample, min(depth, 11))
+    fps = materialise(_texts(docs, id_col, text_col).select("doc_id", "key", "text").mapInPandas(prints, f"doc_id {kind}, key long, fp long"))
+    nodes = materialise(fps.groupBy("fp").agg(_first().alias("holder")))
+    roots = connected_components(tree_links(nodes.select("fp"), reach))
+    named = _named(fps, nodes, roots, "fp", "fp")
+    return named.select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first_key")
 
-    def shard(batches):
-        for b in batches:
-            leaf, at, home = deal(b.fp.to_numpy(np.int64).view(np.uint64), tree, reach)
-            yield pd.DataFrame({"leaf": leaf, "fp": b.fp.to_numpy()[at], "home": home})
 
-    def links(pdf):
-        fp = pdf.fp.to_numpy(np.int64)
-        label = link_forest(fp.view(np.uint64), pdf.home.to_numpy(bool), reach)
-        moved = label != np.arange(len(fp))
-        return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
+def near_texts(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, reach: int = 4) -> DataFrame:
+    """One row per document: id, key, component_id and first_key as near_duplicates() gives
+    them, for texts whose sets of ``words``-word shingles are at Jaccard similarity
+    ``least`` or more.
+
+    Fingerprints within ``reach`` bits of each other are candidates, found by the vantage-point
+    tree. At a similarity of 0.8 fingerprints differ by 10 of 64 bits on average, which a tree
+    cannot search without reading nearly all of it: shingles.links() finds those pairs. Every
+    link is verified on whole sets.
+
+    Words are split at white space, ASCII letters in lower case. A text of fewer than ``words``
+    words is one shingle; null texts and texts without words are alike. Equal
+    rows each get a row; a null id comes last. An empty table gives no rows; other columns are ignored."""
+    small_batches(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
 
-    edges = nodes.select("fp").mapInPandas(shard, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(links, "a long, b long")
-    roots = connected_components(edges)
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    def signed(batches):
+        for b in batches:
+            hashes = [shingles.shingle_hashes(t, words) for t in b.text]
+            sets = [np.unique(h) for h in hashes]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "node": node, "fp": fp, "bands": [shingles.band_keys(s).view(np.int64) for s in sets]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = materialise(texts.select("doc_id", "key", "text").mapInPandas(signed, f"doc_id {kind}, key long, node long, fp long, bands array<long>"))
+    nodes = materialise(rows.groupBy("node").agg(_first().alias("holder"), F.first("bands").alias("bands")))
+    # texts that share a fingerprint, and those whose fingerprints the tree links
+    held = rows.select("fp", "node").distinct()
+    prints = materialise(held.groupBy("fp").agg(F.min("node").alias("rep")))
+    near = tree_links(prints.select("fp"), reach)
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_node"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("x"), F.col("b_node").alias("y"))
+    pairs = held.join(prints, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y")).union(linked)
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    roots = shingles.links(nodes, texts, materialise(pairs), words, least)
+    return _named(rows, nodes.select("node", "holder"), roots, "node")
 
 
-def one_of_each(docs: DataFrame, id_col="doc_id", **kw) -> DataFrame:
-    """The documents whose id is their component's; every column stays. Rows that
-    repeat an id all stay with it."""
-    return without(docs, near_duplicates(docs, id_col, **kw).where("doc_id <> component_id").select("doc_id"), id_col)
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", find=near_duplicates, **kw) -> DataFrame:
+    """One document of each group that ``find`` tells, with every column: the one of smallest
+    id, then of smallest text digest; a null id comes last. Ids may repeat: documents are told
+    apart by id and text, and of rows alike in both one stays."""
+    found = materialise(find(docs, id_col, text_col, **kw).select("doc_id", "key", "component_id", "first_key"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("first_key"))
+    kept = without(docs, found.where(~first).select("doc_id", "key"), id_col, text_col)
+    repeated = found.where(first).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    return only_first(kept, repeated, id_col, text_col)
 
 
 def op5_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

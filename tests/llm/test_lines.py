@@ -62,3 +62,10 @@ def test_null_ids_and_repeated_rows(spark):
     rows = [row(None, line), row(1, line), row(1, line), row(2, line + "\n" + line)]
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_removed, r.kept) for r in L.dedup_lines(frame(spark, rows)).collect()))
     assert got == [(False, 0, 0, line), (True, 1, 1, ""), (True, 1, 1, ""), (True, 2, 2, "")]
+
+
+def test_repeated_rows_link_once(spark):
+    a, b = "the river under the winter light", "the river under the winter lights"
+    rows = [row(1, a)] * 3 + [row(2, b)] + [row(3, "words of its own stand in this line here")] * 50
+    got = {(r.doc_id, r.n_removed, r.n_links) for r in L.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {(1, 0, 1), (2, 1, 1), (3, 0, 0)}

@@ -7,7 +7,6 @@ from data import corpus, frame, prose, row
 from labelq.llm import decontam as D
 from labelq.llm import langid as G
 from labelq.llm import lines as L
-from labelq.llm import simhash as S
 
 ITEM = "Every river under the winter light carries stones over the garden path in the morning, and paper boats follow them."
 
@@ -41,15 +40,16 @@ def test_each_stage_on_its_own_input(spark, sf):
     assert all(r.n_chars == len(r.text) for r in after.values())
 
     docs, before, after = step(spark, sf, docs, "near_dedup")
-    prints = {i: S.fingerprint(t) for i, t in before.items()}
-    group = {i: i for i in prints}
-    for _ in prints:
-        group = {i: min(group[j] for j in prints if bin(prints[i] ^ prints[j]).count("1") <= 4) for i in prints}
-    assert set(after) == set(group.values()) and docs.columns == columns
+    words = {i: t.lower().split() for i, t in before.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min(group[j] for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    assert set(after) == set(group.values()) < set(before) and docs.columns == columns
 
     docs, before, after = step(spark, sf, docs, "decontaminate")
     assert set(before) - set(after) == {i for i, t in before.items() if ITEM in t} == {110} and docs.columns == columns
-    assert not any(D.template(ITEM)["hash"][:3].tolist() == D.template(r.text)["hash"][:3].tolist() for r in after.values())
+    assert not any(D.template(ITEM)["exact"][:3].tolist() == D.template(r.text)["exact"][:3].tolist() for r in after.values())
 
     docs, before, after = step(spark, sf, docs, "mix")
     assert set(after) <= set(before) and all(0 < r.taken <= 3 * r["size"] and r.text == before[r.doc_id] for r in after.values())

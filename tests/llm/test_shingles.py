@@ -1,9 +1,11 @@
 import random
 
 import corpus_pipeline as P
+import numpy as np
 from data import clashing, corpus, frame, prose, row
 
 from labelq.llm import shingles as H
+from labelq.llm import simhash as S
 
 
 def brute(rows):
@@ -41,8 +43,8 @@ def copies(seed=3):
     return rows
 
 
-def components(spark, rows):
-    return {r.doc_id: r.component_id for r in H.near_duplicates(frame(spark, rows)).collect()}
+def components(spark, rows, **kw):
+    return {r.doc_id: r.component_id for r in S.near_texts(frame(spark, rows), **kw).collect()}
 
 
 def test_stage_finds_all_pairs_of_a_brute_force_join(spark):
@@ -53,11 +55,10 @@ def test_stage_finds_all_pairs_of_a_brute_force_join(spark):
     assert components(spark, rows) == want
 
 
-def test_crowded_buckets_are_worked_off(spark, monkeypatch):
+def test_crowded_buckets_are_worked_off(spark):
     rows = copies(9)
-    monkeypatch.setattr(H, "LEAST", 0.95)  # most that meet do not link
-    got = components(spark, rows)
-    sets = {i: H.shingle_set(t) for i, t, *_ in rows}
+    got = components(spark, rows, least=0.95)  # most that meet do not link
+    sets = {i: np.unique(H.shingle_hashes(t, 5)) for i, t, *_ in rows}
     group = {i: i for i in sets}
     links = [(i, j) for i in sets for j in sets if H.similarity(sets[i], sets[j]) >= 0.95]
     for _ in range(len(group)):
@@ -70,7 +71,8 @@ def test_awkward_tables(spark):
     rows = corpus()
     got = components(spark, rows)
     assert got == brute([r[:2] for r in rows])
-    assert {r.doc_id: r.component_id for r in H.near_duplicates(clashing(frame(spark, rows))).collect()} == got
-    assert H.near_duplicates(frame(spark, [])).count() == 0
+    assert {r.doc_id: r.component_id for r in S.near_texts(clashing(frame(spark, rows))).collect()} == got
+    assert S.near_texts(frame(spark, [])).count() == 0
     twice = [row(None, "a b c d e f"), row(1, "a b c d e f"), row(1, "other words stand here now")]
-    assert sorted(r.doc_id or 0 for r in H.one_of_each(frame(spark, twice)).collect()) == [0, 1, 1]
+    kept = S.one_of_each(frame(spark, twice), find=S.near_texts).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (1, "other words stand here now")]

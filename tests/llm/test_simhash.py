@@ -48,7 +48,8 @@ def test_tree_finds_all_links(seed, monkeypatch):
     near = [b ^ np.uint64(sum(1 << int(k) for k in g.choice(64, g.integers(0, 7), replace=False))) for b in base for _ in range(6)]
     points = np.unique(np.concatenate((base, np.array(near, np.uint64), np.arange(40, dtype=np.uint64))))
     monkeypatch.setattr(S, "LEAF", 16)
-    tree = S.build_tree(points, 4)
+    tree = S.build_tree(points, len(points), 4, shard=20)
+    assert len(tree) > 3
     leaf, at, home = S.deal(points, tree, 4)
     assert sorted(at[home]) == list(range(len(points)))
     parent = {int(p): int(p) for p in points}
@@ -84,4 +85,13 @@ def test_awkward_tables(spark):
     assert S.near_duplicates(frame(spark, [])).count() == 0 and S.one_of_each(frame(spark, [])).count() == 0
     rows = [row(1, "a b"), row(1, "a b"), row(None, "a b"), row(5, None), row(6, "")]
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.component_id) for r in S.near_duplicates(frame(spark, rows)).collect())
+    assert sorted((r.doc_id or 0, r.text) for r in S.one_of_each(clashing(frame(spark, rows))).collect()) == [(1, "a b"), (5, None)]
     assert got == [((False, 1), 1), ((False, 1), 1), ((False, 5), 5), ((False, 6), 5), ((True, 0), 1)]
+
+
+@pytest.mark.parametrize("find", [S.near_duplicates, S.near_texts])
+def test_documents_are_told_apart_by_id_and_text(spark, find):
+    a, b = "a river under the winter light carries stones", "paper boats follow the morning over water"
+    rows = [row(1, a), row(2, b), row(2, a), row(None, a), row(None, b), row(3, b)] + [row(9, "the same row comes back many times")] * 1000
+    kept = S.one_of_each(frame(spark, rows), find=find).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b), (9, rows[-1][1])]
