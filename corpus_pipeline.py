@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup by word shingles, benchmark
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark
 decontamination and source mixing, each over all that the stage before kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelq.llm import common, decontam, langid, lines, mixing, shingles
+from labelq.llm import common, decontam, langid, lines, mixing, simhash
 
 #: Confidence below which a document has no language that can be told.
 LEAST_SCORE = 0.3
@@ -33,13 +33,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of texts linked at 0.8 of their five-word shingles the document of smallest id."""
-    return shingles.one_of_each(docs)
+    """Keep one document of each group of texts linked at 0.8 of their five-word shingles: the
+    one of smallest id. Documents are told apart by id and text."""
+    return simhash.one_of_each(docs, find=simhash.near_texts)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
-    return common.without(docs, decontam.find_contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Drop documents that hold an item of the benchmark, told apart by id and text."""
+    found = decontam.find_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return common.without(docs, found.select("doc_id", "key"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
