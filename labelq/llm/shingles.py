@@ -133,12 +133,15 @@ def links(nodes: DataFrame, texts: DataFrame, first: DataFrame, words: int, leas
         by_rest = rest.where(drawn("other")).drop("n").join(own.where("root = main"), "k")
         cols = ordered("node", "other")
         pairs = materialise(by_all.select(*cols).union(by_rest.select(*cols)).distinct().join(tested, ["a", "b"], "left_anti"))
-        old = [found, tested, roots, own, pairs]
-        found = materialise(found.union(_verified(pairs, sets, least)))
+        new = materialise(_verified(pairs, sets, least))
+        old = [tested, own, pairs]
         tested = materialise(tested.union(pairs))
-        roots = materialise(connected_components(found))
+        if not new.isEmpty():
+            old += [found, roots, new]
+            found = materialise(found.union(new))
+            roots = materialise(connected_components(found))
         discard(*old)
         if reps >= most:
             break
-        reps *= 4
+        reps *= 16
     return roots

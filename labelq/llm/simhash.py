@@ -1,10 +1,16 @@
 """SimHash near-duplicates by vantage-point trees (operator 5).
 
-Distinct fingerprints are dealt to the leaves of a vantage-point tree over
-Hamming distance. A fingerprint has one home leaf; where its ball of the link
-radius crosses a boundary it also visits the leaf beyond, so that every linked
-pair meets in one leaf. A leaf searches its own tree, prunes branches by the
-triangle inequality, and returns a spanning forest of its links, not all pairs.
+A fingerprint is cut into BLOCKS blocks of bits. Fingerprints that differ in ``reach``
+bits differ in at most reach // BLOCKS bits of some block, so each block has a
+vantage-point tree over the Hamming distance of its bits. Distinct fingerprints are
+dealt to the leaves of the trees. A fingerprint has one home leaf in each; where its ball
+crosses a boundary it also visits the leaf beyond, so that every linked
+pair meets in one leaf. A leaf searches its own tree over whole fingerprints, prunes branches
+by the triangle inequality, and returns a spanning forest of its links, not all pairs.
+
+Why blocks: distances of whole fingerprints crowd around 32 of 64, and a ball of 4 bits
+crosses most boundaries; a ball of one bit in 21 crosses fewer, and copies of a
+fingerprint are bounded by the 22 neighbours that a block has.
 
 near_texts() goes on from there to all texts at a similarity of their shingles: the
 links are verified, and a second pass finds pairs whose fingerprints lie further apart.
@@ -21,13 +27,21 @@ from pyspark.sql import functions as F
 from labelq.llm import shingles
 from labelq.llm.common import connected_components, materialise, only_first, small_batches, table, text_key, without
 
-#: Fingerprints of a leaf that are compared block by block.
-LEAF = 4096
-#: Fingerprints that a shard gets on average, visitors included, and of the sample that vantage
-#: points come from: at least, for each shard, and at most.
-SHARD, SAMPLE, SAMPLE_PER_SHARD, SAMPLE_MOST = 32768, 8192, 32, 1 << 18
+#: Blocks that fingerprints are cut into.
+BLOCKS = 3
+#: Pairs that are compared at once, and points of a leaf that are compared without parting them.
+CELLS, LEAF = 1 << 20, 1 << 16
+#: Fingerprints that live in a leaf on average; of the sample that vantage points come from
+#: for each leaf, and of the sample at least and at most.
+SHARD, SAMPLE_PER_SHARD, SAMPLE, SAMPLE_MOST = 2048, 32, 8192, 1 << 18
 #: Points that are tried as a vantage point, and levels of a tree at most.
-TRIED, LEVELS = 16, 40
+TRIED, LEVELS = 8, 40
+
+
+def block_of(points: np.ndarray, k: int) -> np.ndarray:
+    """Bits of block ``k`` of each fingerprint."""
+    low, high = k * 64 // BLOCKS, (k + 1) * 64 // BLOCKS
+    return (points >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -51,33 +65,28 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
 
 
 def choose(points: np.ndarray, home: np.ndarray, reach: int) -> tuple[int, int] | None:
-    """Vantage point and radius that part the points with the fewest visitors for what the
+    """Vantage point and radius that part the home points with the fewest visitors for what the
     parting tells (copies against the entropy of the two sides); None if nothing parts them.
 
     Only which points are compared depends on the choice, never which pairs are found."""
     own = points[home]
-    if len(own) < 4:
-        return None
     best = None
-    for v in own[np.linspace(0, len(own) - 1, min(TRIED, len(own))).astype(int)]:
-        within = np.cumsum(np.bincount(_distance(points, v), minlength=65)) / len(points)
-        for radius in range(64):
-            p = within[radius]
-            if not 0.05 <= p <= 0.95:
-                continue
-            visitors = within[min(64, radius + reach)] - p
-            if max(p + visitors, 1 - p) > 0.97:
-                continue
-            told = -(p * np.log(p) + (1 - p) * np.log(1 - p))
-            cost = (np.log1p(visitors) + 0.01) / told
-            if best is None or cost < best[0]:
-                best = (cost, int(v), radius)
+    for v in own[np.linspace(0, len(own) - 1, min(TRIED, len(own))).astype(int)] if len(own) > 3 else ():
+        within = np.cumsum(np.bincount(_distance(own, v), minlength=65)) / len(own)
+        p = within[:64]
+        radius = np.arange(64)
+        crossed = within[np.minimum(radius + reach, 64)] - np.where(radius >= reach, within[radius - reach], 0)
+        told = -(p * np.log(np.maximum(p, 1e-9)) + (1 - p) * np.log(np.maximum(1 - p, 1e-9)))
+        cost = np.where((p >= 0.05) & (p <= 0.95), (np.log1p(crossed) + 0.01) / np.maximum(told, 1e-9), np.inf)
+        at = int(cost.argmin())
+        if cost[at] < np.inf and (best is None or cost[at] < best[0]):
+            best = (cost[at], int(v), at)
     return best and best[1:]
 
 
 def _part(points, home, at, split, reach):
-    """(indices, home) of the two sides. A pair across the boundary is found within it: only
-    points outside come along."""
+    """(indices, home) of the two sides. A pair across the boundary is found within it: of home
+    points only those outside come along."""
     d = _distance(points[at], np.uint64(split[0])).astype(int)
     near = d <= split[1]
     inner = near | (d <= split[1] + reach)
@@ -87,21 +96,20 @@ def _part(points, home, at, split, reach):
 
 def build_tree(sample: np.ndarray, n: int, reach: int, shard: int = SHARD) -> dict[int, tuple[int, int]]:
     """(vantage point, radius) of each inner node; node i has children 2i + 1 (within) and
-    2i + 2. A node is parted until about ``shard`` of ``n`` points, by the sample, live in it
-    or visit it, or until nothing parts it."""
+    2i + 2. A node is parted until about ``shard`` of ``n`` points, by the sample, live in it,
+    or until nothing parts it."""
     tree = {}
-    sample = np.sort(sample)
-    todo = [(0, 0, np.arange(len(sample)), np.ones(len(sample), bool))]
+    todo = [(0, 0, np.sort(sample))]
     while todo:
-        node, level, at, home = todo.pop()
-        if level >= LEVELS or len(at) * n <= shard * len(sample) or len(at) < SAMPLE_PER_SHARD // 2:
+        node, level, points = todo.pop()
+        if level >= LEVELS or len(points) * n <= shard * len(sample) or len(points) < SAMPLE_PER_SHARD // 2:
             continue
-        split = choose(sample[at], home, reach)
+        split = choose(points, np.ones(len(points), bool), reach)
         if split is None:
             continue
         tree[node] = split
-        for k, side in enumerate(_part(sample, home, at, split, reach)):
-            todo.append((2 * node + 1 + k, level + 1, *side))
+        near = _distance(points, np.uint64(split[0])) <= split[1]
+        todo += [(2 * node + 1, level + 1, points[near]), (2 * node + 2, level + 1, points[~near])]
     return tree
 
 
@@ -123,30 +131,38 @@ def deal(points: np.ndarray, tree: dict, reach: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the index of a point that is its own label) after linking a with b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
 def link_forest(points: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
     """For each point the index of a point that it is connected to through links
     between home points, or of home points to visitors; equal numbers: connected."""
     label = np.arange(len(points))
-
-    def merge(at: np.ndarray, at_home: np.ndarray) -> None:
-        base = points[at]
-        for i in np.flatnonzero(at_home):
-            near = at[_distance(base, base[i]) <= reach]
-            if len(near) > 1:
-                roots = np.unique(label[near])
-                if len(roots) > 1:
-                    label[np.isin(label, roots)] = roots[0]
-
     todo = [(np.arange(len(points)), home)]
     while todo:
         at, at_home = todo.pop()
-        if not at_home.any():
+        own = at[at_home]
+        if not len(own):
             continue
         split = choose(points[at], at_home, reach) if len(at) > LEAF else None
-        if split is None:
-            merge(at, at_home)
-        else:
+        if split is not None:
             todo += _part(points, at_home, at, split, reach)
+            continue
+        base = points[at]
+        step = max(1, CELLS // len(at))
+        for k in range(0, len(own), step):
+            some = own[k:k + step]
+            i, j = np.nonzero(_distance(points[some][:, None], base[None, :]) <= reach)
+            label = _unite(label, some[i], at[j])
     return label
 
 
@@ -158,12 +174,15 @@ def tree_links(prints: DataFrame, reach: int = 4) -> DataFrame:
     share = min(1.0, 2.0 * size / max(n, 1))  # a threshold on the hash: no task sorts all fingerprints
     few = prints.where(F.xxhash64("fp") / 2.0 ** 64 + 0.5 <= share)
     sample = few.orderBy(F.xxhash64("fp"), "fp").limit(size).select("fp").toPandas().fp.to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(sample, n, reach)
+    near = reach // BLOCKS
+    trees = [build_tree(block_of(sample, k), n, near) for k in range(BLOCKS)]
 
     def shard(batches):
         for b in batches:
-            leaf, at, home = deal(b.fp.to_numpy(np.int64).view(np.uint64), tree, reach)
-            yield pd.DataFrame({"leaf": leaf, "fp": b.fp.to_numpy()[at], "home": home})
+            fp = b.fp.to_numpy(np.int64)
+            for k in range(BLOCKS):
+                leaf, at, home = deal(block_of(fp.view(np.uint64), k), trees[k], near)
+                yield pd.DataFrame({"tree": np.full(len(at), k, np.int8), "leaf": leaf, "fp": fp[at], "home": home})
 
     def links(pdf):
         fp = pdf.fp.to_numpy(np.int64)
@@ -171,8 +190,8 @@ def tree_links(prints: DataFrame, reach: int = 4) -> DataFrame:
         moved = label != np.arange(len(fp))
         return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
 
-    dealt = prints.select("fp").mapInPandas(shard, "leaf long, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(links, "a long, b long")
+    dealt = prints.select("fp").mapInPandas(shard, "tree byte, leaf long, fp long, home boolean")
+    return dealt.groupBy("tree", "leaf").applyInPandas(links, "a long, b long")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

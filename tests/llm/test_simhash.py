@@ -48,10 +48,7 @@ def test_tree_finds_all_links(seed, monkeypatch):
     near = [b ^ np.uint64(sum(1 << int(k) for k in g.choice(64, g.integers(0, 7), replace=False))) for b in base for _ in range(6)]
     points = np.unique(np.concatenate((base, np.array(near, np.uint64), np.arange(40, dtype=np.uint64))))
     monkeypatch.setattr(S, "LEAF", 16)
-    tree = S.build_tree(points, len(points), 4, shard=20)
-    assert len(tree) > 3
-    leaf, at, home = S.deal(points, tree, 4)
-    assert sorted(at[home]) == list(range(len(points)))
+    monkeypatch.setattr(S, "CELLS", 1 << 10)
     parent = {int(p): int(p) for p in points}
 
     def root(x):
@@ -59,11 +56,17 @@ def test_tree_finds_all_links(seed, monkeypatch):
             x = parent[x]
         return x
 
-    for k in np.unique(leaf):
-        m = leaf == k
-        p = points[at[m]]
-        for a, b in zip(p, p[S.link_forest(p, home[m], 4)]):
-            parent[root(int(a))] = root(int(b))
+    for b in range(S.BLOCKS):
+        block = S.block_of(points, b)
+        tree = S.build_tree(block, len(points), 4 // S.BLOCKS, shard=20)
+        assert len(tree) > 3
+        leaf, at, home = S.deal(block, tree, 4 // S.BLOCKS)
+        assert sorted(at[home]) == list(range(len(points)))
+        for k in np.unique(leaf):
+            m = leaf == k
+            p = points[at[m]]
+            for x, y in zip(p, p[S.link_forest(p, home[m], 4)]):
+                parent[root(int(x))] = root(int(y))
     want = components([int(p) for p in points], list(range(len(points))))
     got = {}
     for i, p in enumerate(points):
