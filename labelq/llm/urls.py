@@ -1,14 +1,16 @@
-"""URL filter over a sorted array of 64-bit digests (operator 8).
+"""URL filter over sorted arrays of 64-bit digests (operator 8).
 
 The rules' keys (host and path) are hashed with XXH64 and sorted. Workers map
 the array into memory and probe it with a vectorised binary search; a hit
 counts only when the stored full string equals the probed one. A rule list
-above the broadcast bound is joined by digest and string instead.
+above the broadcast bound is cut into one array for each range of digests; the
+keys to be probed are dealt out by the same ranges.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import mmap
 import os
 
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import BROADCAST_BYTES
+from labelq.llm.common import BROADCAST_BYTES, materialise, maybe_broadcast, table
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -35,6 +37,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), path
 
 
+def digest(key: str) -> int:
+    """What xxhash64() gives, unsigned."""
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
+
+
 class DigestArray:
     """Sorted uint64 digests, the verdict of each and the full strings behind them.
 
@@ -42,11 +49,11 @@ class DigestArray:
 
     @staticmethod
     def pack(rules: list[tuple[str, bool]]) -> bytes:
-        """rules: (host + path, blocked). A key listed twice keeps its first verdict."""
-        first: dict[str, bool] = {}
+        """rules: (host + path, blocked). A key listed twice is blocked if any of its rules blocks."""
+        found: dict[str, bool] = {}
         for key, blocked in rules:
-            first.setdefault(key, blocked)
-        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), b) for k, b in first.items())
+            found[key] = found.get(key, False) or blocked
+        rows = sorted((digest(k), k.encode("utf-8", "surrogatepass"), b) for k, b in found.items())
         blob = b"".join(r[1] for r in rows)
         head = np.array([len(rows), len(blob)], "<u8").tobytes()
         keys = np.array([r[0] for r in rows], "<u8").tobytes()
@@ -67,11 +74,11 @@ class DigestArray:
         self.path_lengths = sorted({len(t) - (t.find("/") if "/" in t else len(t)) for t in texts})
 
     def text(self, i: int) -> str:
-        return self.blob[int(self.ends[i]):int(self.ends[i + 1])].tobytes().decode()
+        return self.blob[int(self.ends[i]):int(self.ends[i + 1])].tobytes().decode("utf-8", "surrogatepass")
 
     def find(self, probes: list[str]) -> np.ndarray:
         """Index of each probe, or -1."""
-        want = np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in probes], "<u8")
+        want = np.array([digest(p) for p in probes], "<u8")
         at = np.searchsorted(self.keys, want)
         out = np.full(len(probes), -1)
         for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == want) if len(self.keys) else []):
@@ -114,16 +121,17 @@ def judge_urls(pages: DataFrame, rules, id_col: str = "page_id", url_col: str =
 
     rules: list of (``host/path``, ``block`` or ``allow``), or a DataFrame with
     columns rule and verdict. A rule fits its host and all subdomains when the
-    page's path starts with the rule's. A null URL or one without ``://`` has
+    page's path starts with the rule's. A rule listed twice blocks if it does so once. A null URL or one without ``://`` has
     empty host and path and gets ``default``. Repeated pages each get a row;
     no pages give no rows; other columns are ignored."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    if not isinstance(rules, DataFrame) and sum(len(r) + 32 for r, _ in rules) > BROADCAST_BYTES:
+        rules = pages.sparkSession.createDataFrame(rules, "rule string, verdict string")
     if isinstance(rules, DataFrame):
-        if rules.agg(F.coalesce(F.sum(F.length("rule") + 32), F.lit(0))).first()[0] > BROADCAST_BYTES:
-            return _judge_by_join(rows, rules, default)
+        size = rules.agg(F.coalesce(F.sum(F.length("rule") + 32), F.lit(0))).first()[0]
+        if size > BROADCAST_BYTES:
+            return _judge_in_ranges(rows, rules, default, size)
         rules = [(r.rule, r.verdict) for r in rules.select("rule", "verdict").collect()]
-    elif sum(len(r) + 32 for r, _ in rules) > BROADCAST_BYTES:
-        return _judge_by_join(rows, pages.sparkSession.createDataFrame(rules, "rule string, verdict string"), default)
     data = pages.sparkSession.sparkContext.broadcast(DigestArray.pack([(r, v == "block") for r, v in rules]))
 
     def judge(batches):
@@ -147,10 +155,20 @@ def judge_urls(pages: DataFrame, rules, id_col: str = "page_id", url_col: str =
     return rows.mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def _judge_by_join(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The way for rule lists of any size: distinct URLs' keys meet the rules in a shuffled join."""
-    rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in rules.select(F.when(F.instr("rule", "/") > 0, F.length("rule") - F.instr("rule", "/") + 1).otherwise(0)).distinct().collect())
+def _judge_in_ranges(rows: DataFrame, rules: DataFrame, default: str, size: int) -> DataFrame:
+    """The way for rule lists of any size: an array for each range of digests. Each distinct
+    key of all URLs is probed once, so that a hot host is no hot range."""
+    bits = max(1, math.ceil(math.log2(size / BROADCAST_BYTES)) + 1)
+    range_of = F.shiftrightunsigned(F.xxhash64("rule"), 64 - bits).alias("range")
+    rules = rules.select(F.col("rule").cast("string").alias("rule"), F.col("verdict").cast("string").alias("verdict")).where("rule is not null")
+    path = F.when(F.instr("rule", "/") > 0, F.length("rule") - F.instr("rule", "/") + 1).otherwise(0)
+    lengths = sorted(r[0] for r in rules.select(path).distinct().collect())  # at most the longest rule's length
+
+    def pack(pdf):
+        data = DigestArray.pack([(r, v == "block") for r, v in zip(pdf.rule, pdf.verdict)])
+        return pd.DataFrame({"range": pdf.range[:1], "data": [data]})
+
+    arrays = rules.select("rule", "verdict", range_of).groupBy("range").applyInPandas(pack, "range long, data binary")
 
     def probe(batches):
         for batch in batches:
@@ -158,12 +176,31 @@ def _judge_by_join(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame
             yield pd.DataFrame(out, columns=["url", "host", "path", "keys"])
 
     urls = rows.select("url").distinct().mapInPandas(probe, "url string, host string, path string, keys array<string>")
-    fits = urls.select("url", F.explode("keys").alias("rule")).withColumn("digest", F.xxhash64("rule")).join(
-        rules.withColumn("digest", F.xxhash64("rule")), ["digest", "rule"])
-    best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    best = best.withColumnRenamed("url", "best_url")
+    asked = urls.select(F.explode("keys").alias("rule")).distinct().select("rule", range_of)
+
+    def search(batches):
+        """An array comes before the keys of its range."""
+        at, index = None, None
+        for b in batches:
+            out = []
+            for k, part in b.groupby("range", sort=False):
+                for data in part.data[part.rule.isna()]:
+                    at, index = k, DigestArray(data)
+                if at != k:  # a range without a rule
+                    continue
+                probes = list(part.rule[part.rule.notna()])
+                out += [(p, bool(index.blocked[f])) for p, f in zip(probes, index.find(probes)) if f >= 0]
+            yield pd.DataFrame(out, columns=["rule", "blocked"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    both = arrays.select("range", none("string").alias("rule"), "data").union(asked.select("range", "rule", none("binary")))
+    dealt = both.repartition(1 << bits, "range").sortWithinPartitions("range", F.col("rule").asc_nulls_first())
+    known = materialise(dealt.mapInPandas(search, "rule string, blocked boolean"))
+    fits = urls.select("url", F.explode("keys").alias("rule")).join(maybe_broadcast(known, known.count(), 256), "rule")
+    best = fits.groupBy(F.col("url").alias("best_url")).agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "blocked")).alias("best"))
+    verdict = F.when(F.col("best.blocked"), "block").when(F.col("best").isNotNull(), "allow").otherwise(default)
     judged = urls.drop("keys").join(best, F.col("url").eqNullSafe(F.col("best_url")), "left").select(
-        F.col("url").alias("judged_url"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        F.col("url").alias("judged_url"), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
     return rows.join(judged, F.col("url").eqNullSafe(F.col("judged_url"))).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -172,7 +209,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 def op8_url_filter(spark, sf_dir):
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 ORACLE = r"""

@@ -28,37 +28,46 @@ def targets(sizes, weights=(1, 2, 3)):
     return out
 
 
-def by_hand(rows):
-    """Words taken of each document, by walking the blocks of every source's stream."""
+def by_hand(rows, golden=M.GOLDEN):
+    """Words taken of each document and the first slot that takes any, slot by slot."""
     sizes = {}
     for i, text, source in rows:
         sizes[source] = sizes.get(source, 0) + size(text)
-    t, out, total = targets(sizes), {}, sum(sizes.values())
-    for s, n in sizes.items():
+    t, total = targets(sizes), sum(sizes.values())
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    words, blocks, parts = {}, {}, []
+    for s in names:
         own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"7:{r[0]}".encode()).hexdigest(), r[0]))
-        words = [i for i, text, _ in own for _ in range(size(text))]
-        blocks = min(n, max(M.LEAST_BLOCKS, round(n / max(total / M.BLOCKS, 1))))
-        uses = int(t[s] * blocks / n + 0.5) if n else 0
-        for i, *_ in own:
-            out[i] = 0
-        for k in range(uses):
-            b = k % blocks
-            for p in range(b * n // blocks, (b + 1) * n // blocks):
-                out[words[p]] += 1
-    return sizes, t, out
+        words[s], n = [i for i, text, _ in own for _ in range(size(text))], sizes[s]
+        blocks[s] = min(n, max(M.LEAST_BLOCKS, round(n / max(total / M.BLOCKS, 1))))
+        parts += [s] * (int(t[s] * blocks[s] / n + 0.5) if n else 0)
+    out, first, ranks, sum_, slot = {r[0]: 0 for r in rows}, {r[0]: -1 for r in rows}, dict.fromkeys(names, 0), 0, 0
+    while parts and sum_ < total and slot <= len(parts) * M.SPARE + 64:
+        s = parts[int((slot * golden % 2 ** 32) / 2 ** 32 * len(parts))]
+        k, n = ranks[s], sizes[s]
+        ranks[s] += 1
+        if k < 3 * blocks[s]:
+            b = k % blocks[s]
+            for p in range(b * n // blocks[s], (b + 1) * n // blocks[s]):
+                i = words[s][p]
+                out[i] += 1
+                first[i] = slot if first[i] < 0 else first[i]
+                sum_ += 1
+        slot += 1
+    return sizes, t, out, first
 
 
 def check(spark, rows, df=None):
     mix = M.mix_sources(df if df is not None else frame(spark, rows))
     got = {r.doc_id: r for r in mix.taken.collect()}
-    sizes, t, taken = by_hand([(r[0], r[1], r[3]) for r in rows])
-    assert {i: r.taken for i, r in got.items()} == taken
+    sizes, t, taken, first = by_hand([(r[0], r[1], r[3]) for r in rows])
+    assert {i: r.taken for i, r in got.items()} == taken and {i: r.first_slot for i, r in got.items()} == first
     for r in rows:
         g = got[r[0]]
         assert g["size"] == size(r[1]) and g.source_size == sizes[r[3]] and g.target == pytest.approx(t[r[3]]) and g.taken <= 3 * g["size"]
     for s in sizes:
         own = sum(got[r[0]].taken for r in rows if r[3] == s)
-        assert abs(own - t[s]) <= max(1, sizes[s] / M.LEAST_BLOCKS)
+        assert abs(own - t[s]) <= max(4, 4 * sizes[s] / M.LEAST_BLOCKS)
     return mix, t
 
 
@@ -66,6 +75,17 @@ def test_against_brute_force(spark):
     check(spark, corpus(n=60))
 
 
+def test_the_sequence_decides(spark, monkeypatch):
+    rows = corpus(n=60)
+    plain = [(r[0], r[1], r[3]) for r in rows]
+    got = {r.doc_id: (r.taken, r.first_slot) for r in M.mix_sources(frame(spark, rows)).taken.collect()}
+    monkeypatch.setattr(M, "GOLDEN", 2246822519)
+    other = {r.doc_id: (r.taken, r.first_slot) for r in M.mix_sources(frame(spark, rows)).taken.collect()}
+    _, _, taken, first = by_hand(plain, 2246822519)
+    assert other == {i: (taken[i], first[i]) for i in taken} != got
+    assert {i: x[0] for i, x in other.items()} != {i: x[0] for i, x in got.items()}
+
+
 def test_capped_sources_and_buckets(spark, monkeypatch):
     import random
 

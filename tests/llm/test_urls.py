@@ -24,10 +24,10 @@ def pages(spark, urls=URLS):
 
 
 @pytest.mark.parametrize("rules", [U.RULES, [], [*U.RULES, ("com", "block"), ("x.com/de/", "allow"), ("a.net:80/", "allow")]])
-@pytest.mark.parametrize("way", ["array", "join", "frame"])
+@pytest.mark.parametrize("way", ["array", "ranges", "frame"])
 def test_against_every_rule(spark, rules, way, monkeypatch):
-    if way == "join":
-        monkeypatch.setattr(U, "BROADCAST_BYTES", -1)
+    if way == "ranges":
+        monkeypatch.setattr(U, "BROADCAST_BYTES", 40)
     given = spark.createDataFrame(rules, "rule string, verdict string") if way == "frame" else rules
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(pages(spark), given).collect()}
     assert got == {i: judge(u, rules) for i, u in enumerate(URLS)}
@@ -51,3 +51,19 @@ def test_empty_and_repeated(spark):
     assert U.judge_urls(pages(spark).limit(0), U.RULES).count() == 0
     two = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (None, None)], "page_id long, url string")
     assert sorted((r.page_id or 0, r.verdict) for r in U.judge_urls(two, U.RULES).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 40])
+def test_rules_listed_twice_and_clashing(spark, bound, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", bound)
+    for rules in ([("net/", "block"), ("net/", "allow")], [("net/", "allow"), ("net/", "block"), ("net/", "allow")]):
+        got = {r.page_id: r.verdict for r in U.judge_urls(pages(spark, ["http://a.net/", "http://a.com/"]), rules).collect()}
+        assert got == {0: "block", 1: "allow"}
+
+
+def test_many_rules_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", 2000)
+    rules = [(f"site{i}.example/{'abc'[i % 3]}/", ("block", "allow")[i % 2]) for i in range(400)] + [("example/", "allow")]
+    urls = [f"http://www.site{i % 450}.example/{'abcd'[i % 4]}/x" for i in range(900)] + ["http://other.example/"] * 300
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(pages(spark, urls), rules).collect()}
+    assert got == {i: judge(u, rules) for i, u in enumerate(urls)}
