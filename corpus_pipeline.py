@@ -45,12 +45,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, target of their source and
-    words taken; rows that share an id share the sum of their words."""
-    taken = mixing.mix_sources(docs).taken.groupBy(F.col("doc_id").alias("t_id")).agg(
-        F.sum("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0")
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return own.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id"))).drop("t_id")
+    """The documents that the mix takes words of, with size, target of their source, words
+    taken and the slot of the schedule that first takes any. Rows alike in id and text share the
+    sum of their words; further columns of these names give way."""
+    found = mixing.mix_sources(docs).taken.where("taken > 0").groupBy(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key")).agg(
+        F.sum("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
+    own = docs.drop(*(c for c in found.columns if c in docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (common.text_key("text") == F.col("t_key"))
+    return own.join(found, same).drop("t_id", "t_key")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
