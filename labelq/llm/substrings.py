@@ -5,8 +5,11 @@ least hash (the leftmost of equals), so that equal windows of different
 documents meet at the same gram. The stretches of text around grams that occur
 more than once are suffix-sorted shard by shard with bucket-pointer refinement:
 buckets of equal 8-grams are refined by the bucket pointers of the suffixes
-further on, which the last round has refined already, until equal pointers mean
-equal windows. Windows are judged on the input and covered bytes removed.
+further on. Each bucket knows how many bytes its pointer stands for; pointers that were
+refined a moment ago are used at once, so the depth of a bucket grows by that of what
+it points to, until it spans a window. A gram of very many stretches is refined before
+that, over all tasks, by the bytes beside it. Windows are judged on the input
+and covered bytes removed.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 from labelq.llm.common import materialise, maybe_broadcast, small_batches, table
 
 WIDTH, GRAM = 200, 16
-#: Text that is sorted at once (arrays of its size stay in a core's cache), and stretches of one gram above which the gram's
-#: windows are grouped one by one, spread over all tasks, instead of in one sort.
-SORT_BYTES, HOT = 1 << 16, 8192
+#: Text that is sorted at once (arrays of its size stay in a core's cache), parts of its buckets that
+#: are refined one after the other, and different stretches that one gram has at most in a sort.
+SORT_BYTES, PARTS, HOT = 1 << 16, 4, 8192
 #: Bytes hashed at once; positions within must fit the packed order's low bits.
 _LOW = 20
 CHUNK = 1 << (_LOW - 1)
@@ -33,6 +36,16 @@ _U = np.uint64
 _P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes that start at each place."""
+    h = data.astype(_U) + _U(1)
+    for k, p in enumerate(_P):
+        h = h[:-(1 << k)] * p + h[1 << k:]
+    h ^= h >> _U(32)
+    h *= _U(0xFF51AFD7ED558CCD)
+    return h ^ (h >> _U(29))
+
+
 def stretches(data: bytes, width: int = WIDTH):
     """(start, length, hash of the gram) of the stretches that cover all windows of
     ``data``: each holds the consecutive windows of one gram."""
@@ -41,12 +54,7 @@ def stretches(data: bytes, width: int = WIDTH):
     whole = np.frombuffer(data, np.uint8)
     grams = width - GRAM + 1
     for base in range(0, len(data) - width + 1, CHUNK):
-        h = whole[base:base + CHUNK + width - 1].astype(_U) + _U(1)
-        for k, p in enumerate(_P):
-            h = h[:-(1 << k)] * p + h[1 << k:]
-        h ^= h >> _U(32)
-        h *= _U(0xFF51AFD7ED558CCD)
-        h ^= h >> _U(29)
+        h = _gram_hashes(whole[base:base + CHUNK + width - 1])
         low = (h & ~_U((1 << _LOW) - 1)) | np.arange(len(h), dtype=_U)
         span = 1
         while span * 2 <= grams:
@@ -59,41 +67,74 @@ def stretches(data: bytes, width: int = WIDTH):
         yield base + first, last - first + width, h[at[first]].view(np.int64)
 
 
-def sort_buckets(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Bucket pointer of every suffix of ``data``, sorted to ``width`` bytes: suffixes
-    have equal pointers if and only if their first ``width`` bytes are equal (bytes
-    after the end count as zeros and are for the caller to leave out)."""
-    n = len(data)
+def split_stretch(data: bytes, h: int, left: int, right: int, width: int = WIDTH):
+    """(start, bytes, left, right, hash) of one or two parts of a stretch whose windows all hold
+    bytes left to right (left < 0: the gram of hash ``h``), each with more bytes in common: the windows that
+    have room for them on the right, and the others, which have it on the left."""
+    if left < 0:
+        low, high = len(data) - width, width - GRAM  # where all windows can hold the gram
+        found = np.flatnonzero(_gram_hashes(np.frombuffer(data, np.uint8))[low:high + 1].view(np.int64) == h)
+        left = low + int(found[0])
+        right = left + GRAM
+    more = (width + 1 - (right - left)) // 2
+    cut = min(max(0, right + more - width), len(data) - width + 1)  # the first window that has room on the right
+    if cut < len(data) - width + 1:
+        name = xxhash.xxh3_64_intdigest(data[left:right + more], 1 + right - left)
+        yield cut, data[cut:], left - cut, right + more - cut, name
+    if cut:
+        name = xxhash.xxh3_64_intdigest(data[left - more:right], 1001 + right - left)
+        yield 0, data[:cut + width - 1], left - more, right, name
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, in order; bytes after the end count as zeros."""
     key = np.concatenate((data, np.zeros(8, np.uint8))).astype(_U)
     for k in (1, 2, 4):
         key = (key[:-k] << _U(8 * k)) | key[k:]
-    key = key[:n]
+    return key[:len(data)]
+
 
-    def split(order: np.ndarray, key: np.ndarray, base: np.ndarray | None):
-        """Pointers of sorted keys (place of the bucket's first suffix) and which buckets hold several."""
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        start = np.flatnonzero(new)
-        size = np.diff(np.concatenate((start, [len(key)])))
-        bucket = np.cumsum(new) - 1
-        pointer = start[bucket] if base is None else base[start][bucket]
-        return pointer, size[bucket] > 1
+def sort_buckets(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Bucket pointer of every suffix of ``data``: pointers are in the order of the suffixes,
+    and suffixes of equal pointers agree on ``width`` bytes. Of suffixes that agree, some
+    may be told apart by bytes further on; they stand next to each other.
 
+    Positions after the end are one last suffix."""
+    n = len(data)
+    key = _words(data)
     order = np.argsort(key)
-    pointers = np.empty(n + width, np.int64)
-    pointers[n:] = n
-    pointers[order], several = split(order, key[order], None)
-    active, depth = order[several], 8
-    while depth < width and len(active):
-        step = min(depth, width - depth)
-        key = (pointers[active].astype(_U) << _U(32)) | pointers[active + step].astype(_U)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, n))
+    pointers, depth = np.full(n + width, n, np.int64), np.full(n + width, width, np.int64)
+    pointers[order] = np.repeat(start, size)
+    several = np.repeat(size > 1, size)
+    todo = order[several]
+    depth[todo] = min(8, width)
+
+    def refine(active: np.ndarray) -> np.ndarray:
+        """Sort each bucket by the pointers as far on as it agrees; what has to go on."""
+        ahead = depth[active]
+        key = (pointers[active].astype(_U) << _U(32)) | pointers[active + ahead].astype(_U)
         order = np.argsort(key)
         key, at = key[order], active[order]
-        old = (key >> _U(32)).astype(np.int64)
-        head = np.concatenate(([True], old[1:] != old[:-1]))
-        place = np.flatnonzero(head)[np.cumsum(head) - 1]  # of the bucket that is refined
-        pointers[at], several = split(at, key, old + np.arange(len(at)) - place)
-        active = at[several]
-        depth += step
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(at)))
+        old = (key[start] >> _U(32)).astype(np.int64)  # of each new bucket, the place of the bucket it comes from
+        head = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+        offset = start - np.repeat(start[head], np.diff(np.append(head, len(start))))
+        one = at[start]
+        known = np.where(size > 1, np.minimum(width, depth[one] + depth[one + depth[one]]), width)
+        pointers[at] = np.repeat(old + offset, size)
+        depth[at] = np.repeat(known, size)
+        return at[np.repeat(known < width, size)]
+
+    while len(todo):
+        cuts = np.linspace(0, len(todo), PARTS + 1).astype(int)[1:-1] if len(todo) > 1024 else np.zeros(0, int)
+        if len(cuts):  # between buckets
+            p = pointers[todo]
+            cuts = np.unique(np.searchsorted(p, p[cuts]))
+        todo = np.concatenate([refine(part) for part in np.split(todo, cuts) if len(part)])
     return pointers[:n]
 
 
@@ -107,8 +148,19 @@ def repeated(parts: list[bytes], weights, width: int = WIDTH) -> list[list[tuple
     counts = lengths - width + 1
     part = np.repeat(np.arange(len(parts)), counts)
     start = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
-    pointer = pointers[start + (ends - lengths)[part]]
-    hit = np.bincount(pointer, weights=np.asarray(weights, float)[part], minlength=len(data))[pointer] >= 2
+    place = start + (ends - lengths)[part]
+    order = np.argsort(pointers[place], kind="stable")
+    # neighbours that further bytes tell apart are compared byte by byte, eight at once
+    at = place[order]
+    same = pointers[at[1:]] == pointers[at[:-1]]
+    open_ = np.flatnonzero(~same)
+    words = _words(data)
+    for k in (*range(0, width - 7, 8), max(0, width - 8)):
+        open_ = open_[words[at[open_] + k] == words[at[open_ + 1] + k]]
+    same[open_] = True
+    group = np.concatenate(([0], np.cumsum(~same))) if len(at) else np.zeros(0, int)
+    hit = np.zeros(len(part), bool)
+    hit[order] = np.bincount(group, weights=np.asarray(weights, float)[part][order])[group] >= 2 if len(at) else False
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
     part, start = part[hit], start[hit]
     if len(part):
@@ -196,10 +248,8 @@ def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
     places = materialise(places.join(materialise(grams), "h"))  # two plain exchanges: a hot gram's partition can be split
     # equal stretches are sorted once, with their number
     kinds = places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "pos", "len")).alias("at"))
-    many = places.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-    many = materialise(many)
-    kinds = kinds.join(maybe_broadcast(many, many.count(), 32), "h", "left").select("h", "c", "n", "at.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c", "n", "pos", "len", "hot")).alias("want")).withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
+    wanted = kinds.select("h", "c", "n", "at.*").groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c", "n", "pos", "len")).alias("want"))
+    wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
@@ -207,27 +257,54 @@ def repeated_ranges(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
             rows = []
             for data, want in zip(b.packed, b.want):
                 data = z.decompress(data)
-                rows += [(w["h"], w["c"], w["n"], w["hot"], data[w["pos"]:w["pos"] + w["len"]]) for w in want]
-            yield pd.DataFrame(rows, columns=["h", "c", "n", "hot", "bytes"])
+                rows += [(w["h"], w["c"], w["n"], data[w["pos"]:w["pos"] + w["len"]]) for w in want]
+            yield pd.DataFrame(rows, columns=["h", "c", "n", "bytes"])
 
     first = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("packed", "want")
-    texts = materialise(first.mapInPandas(cut, "h long, c long, n long, hot boolean, bytes binary").dropDuplicates(["h", "c"]))
-    sorted_ = texts.where("not hot").select("h", "c", "n", "bytes").repartition("h").sortWithinPartitions("h", "c")
-    judged = sorted_.mapInPandas(_judge, f"h long, c long, ranges {_RANGES}")
+    texts = materialise(first.mapInPandas(cut, "h long, c long, n long, bytes binary").dropDuplicates(["h", "c"]))
+    judged = judge(texts.withColumns({"left": F.lit(-1), "right": F.lit(-1)}), hot)
+    shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("pos")).alias("a"), (r["b"] + F.col("pos")).alias("b")))
+    back = places.join(judged, ["h", "c"]).select("doc_id", "key", shifted.alias("ranges"))
+    # rows alike in id and text bring the same ranges: a set, not a list
+    return packed, back.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
+
+
+def judge(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(h, c, ranges) of the stretches ``texts`` (h, c, n, bytes, left, right) that repeat something.
+
+    Grams of more than ``hot`` different stretches are refined: each stretch is parted by the bytes
+    that its windows have in common, parts that are equal become one, and so on with
+    those that are still many, until windows are whole (nine times at most)."""
+    many = materialise(texts.groupBy("h").count().where(F.col("count") > hot).select("h"))
+    n = many.count()
+
+    def sort(rows):
+        dealt = rows.select("h", "c", "n", "bytes").repartition("h").sortWithinPartitions("h", "c")
+        return dealt.mapInPandas(_judge, f"h long, c long, ranges {_RANGES}")
+
+    if not n:
+        return sort(texts)
+    few = maybe_broadcast(many, n, 16)
 
-    def single(batches):
-        """The windows of a hot gram's stretches, by 128-bit digest."""
+    def split(batches):
         for b in batches:
-            n_windows = b.bytes.map(len) - WIDTH + 1
-            digests = [xxhash.xxh3_128_intdigest(data[k:k + WIDTH]) for data, n in zip(b.bytes, n_windows) for k in range(n)]
-            each = b[["h", "c", "n"]].loc[b.index.repeat(n_windows)].reset_index(drop=True)
-            yield each.assign(a=np.concatenate([np.arange(n) for n in n_windows] or [[]]).astype(np.int32), w1=np.array([x >> 64 for x in digests], _U).view(np.int64), w2=np.array([x & (2 ** 64 - 1) for x in digests], _U).view(np.int64))
-
-    one = texts.where("hot").select("h", "c", "n", "bytes").mapInPandas(single, "h long, c long, n long, a int, w1 long, w2 long")
-    twice = one.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("w1", "w2")
-    judged = judged.union(one.join(twice, ["w1", "w2"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("a"), (F.col("a") + WIDTH).alias("b"))).alias("ranges")))
-    back = places.join(judged, ["h", "c"]).select("doc_id", "key", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("pos")).alias("a"), (r["b"] + F.col("pos")).alias("b"))).alias("ranges"))
-    return packed, back.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+            out = []
+            for h, c, n, data, left, right in zip(b.h, b.c, b.n, b.bytes, b.left, b.right):
+                for start, part, x, y, name in split_stretch(data, h, left, right):
+                    digest = xxhash.xxh3_64_intdigest(part)
+                    out.append((*np.array([name, digest], _U).view(np.int64).tolist(), n, part, x, y, h, c, start))
+            yield pd.DataFrame(out, columns=["h", "c", "n", "bytes", "left", "right", "from_h", "from_c", "start"])
+
+    parts = texts.join(few, "h", "left_semi").mapInPandas(
+        split, "h long, c long, n long, bytes binary, left int, right int, from_h long, from_c long, start int")
+    parts = materialise(parts)
+    again = parts.groupBy("h").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("h")  # alone, a part repeats nothing
+    alike = parts.join(materialise(again), "h").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("bytes", "left", "right")).alias("one"))
+    found = judge(materialise(alike.select("h", "c", "n", "one.*")), hot)
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
+    found = found.join(parts.select("h", "c", "from_h", "from_c", "start"), ["h", "c"])
+    found = found.select(F.col("from_h").alias("h"), F.col("from_c").alias("c"), moved.alias("ranges"))
+    return sort(texts.join(few, "h", "left_anti")).union(found)
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", hot: int = HOT) -> DataFrame:
