@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelq.llm.common import maybe_broadcast, materialise, small_batches, table
+from labelq.llm.common import maybe_broadcast, materialise, small_batches, table, text_key
 
 #: Hashed n-grams of one to three characters.
 BITS = 15
@@ -23,8 +23,9 @@ DIM = 1 << BITS
 UND = "und"
 #: Characters that are hashed at once.
 CHUNK = 1 << 20
-#: Training rows of one language that the regression is fitted on at most; a fifth of them calibrate.
-ROWS_PER_LANGUAGE = 1500
+#: Training rows of one language, and of all languages, that the regression is fitted on at most;
+#: a fifth of them calibrate. With more languages than ROWS each has one row.
+ROWS_PER_LANGUAGE, ROWS = 1500, 12000
 _A, _B, _C, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _letters: np.ndarray | None = None
 
@@ -118,7 +119,8 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """Fit a model on rows (doc_id, text, lang). Null languages and texts without a
-    letter teach nothing. With no row left, the model answers ``und``."""
+    letter teach nothing; rows without an id teach like others. With no row left, the model
+    answers ``und``."""
     spark = rows.sparkSession
     rows = rows.where("lang is not null")
 
@@ -138,27 +140,33 @@ def train(rows: DataFrame) -> Model:
     df[known["at"].to_numpy(int)] = known.df
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    # The rows of least hash in each language. Where a language has many, a threshold on the hash
-    # leaves about four times as many as are wanted, so that no task ranks a whole language.
-    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows")))
-    hashed = F.xxhash64("doc_id")
-    share = F.least(F.lit(1.0), F.lit(4.0 * ROWS_PER_LANGUAGE) / F.col("rows"))
-    low = rows.select("doc_id", "lang").join(maybe_broadcast(sizes, sizes.count(), 64), "lang").where(hashed / 2.0 ** 64 + 0.5 <= share)
-    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
-    picked = materialise(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= ROWS_PER_LANGUAGE).select("doc_id").distinct())
-    sample = rows.join(maybe_broadcast(picked, picked.count(), 32), "doc_id", "left_semi")
+    # The rows of least hash in each language; rows alike in id, text and language count once.
+    # Where a language has many, a threshold on the hash leaves about four times as many as are
+    # wanted, so that no task ranks a whole language.
+    rows = rows.withColumn("key", text_key("text"))
+    hashed = F.xxhash64("doc_id", "key")
+    sizes = materialise(rows.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.02).alias("rows")))
+    n_languages = sizes.count()
+    most = max(1, min(ROWS_PER_LANGUAGE, ROWS // max(1, n_languages)))
+    share = F.least(F.lit(1.0), F.lit(4.0 * most + 64) / F.col("rows"))
+    low = rows.select("doc_id", "key", "lang").join(maybe_broadcast(sizes, n_languages, 64), "lang").where(hashed / 2.0 ** 64 + 0.5 <= share)
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id", "key")
+    low = low.select("doc_id", "key", "lang").distinct().withColumn("k", F.row_number().over(order))
+    picked = materialise(low.where(F.col("k") <= most).select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), F.col("lang").alias("p_lang")))
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key")) & (F.col("lang") == F.col("p_lang"))
+    sample = rows.join(maybe_broadcast(picked, picked.count(), 96), same, "left_semi").dropDuplicates(["doc_id", "key", "lang"])
 
     def features(batches):
         for b in batches:
             grams = [ngrams(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype(str), "lang": b.lang, "at": [g[0].astype(np.int32) for g in grams], "n": [g[1].astype(np.int32) for g in grams]})
+            yield pd.DataFrame({"doc_id": b.doc_id.astype(str), "key": b.key, "lang": b.lang, "at": [g[0].astype(np.int32) for g in grams], "n": [g[1].astype(np.int32) for g in grams]})
 
     def fit(batches):
         parts = list(batches)
         if not parts:
             return
         pdf = pd.concat(parts, ignore_index=True)
-        pdf = pdf[pdf["at"].map(len) > 0].sort_values(["doc_id", "lang"]).reset_index(drop=True)
+        pdf = pdf[pdf["at"].map(len) > 0].sort_values(["doc_id", "key", "lang"]).reset_index(drop=True)
         languages = sorted(pdf.lang.unique())
         data = [(a, weigh(a, c, idf), languages.index(y)) for a, c, y in zip(pdf["at"], pdf.n, pdf.lang)]
         held = [k for k in range(len(data)) if k % 5 == 4]
@@ -171,7 +179,7 @@ def train(rows: DataFrame) -> Model:
             t = fit_temperature(np.array([data[k][1] @ w[data[k][0]] + w[DIM] for k in held]), np.array([data[k][2] for k in held]))
         yield pd.DataFrame({"language": languages, "weights": [w[:, k].tobytes() for k in range(len(languages))], "temperature": t})
 
-    sampled = sample.mapInPandas(features, "doc_id string, lang string, at array<int>, n array<int>")
+    sampled = sample.select("doc_id", "key", "lang", "text").mapInPandas(features, "doc_id string, key long, lang string, at array<int>, n array<int>")
     model = sampled.repartition(1).mapInPandas(fit, "language string, weights binary, temperature double").toPandas().sort_values("language")
     weights = np.stack([np.frombuffer(w, np.float32) for w in model.weights], axis=1) if len(model) else np.zeros((DIM + 1, 0), np.float32)
     return Model(model.language.tolist(), idf, weights, float(model.temperature.iloc[0]) if len(model) else 1.0)
