@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 #: A side is broadcast only when its checked size is below this many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Links that one file of a step towards components holds.
+PART_ROWS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,18 +133,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def stamp(e):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    def write(e, rows):  # few files and tasks for few rows
+        return materialise(e.coalesce(max(4, -(-rows // PART_ROWS))))
+
     edges = materialise(tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     seen = stamp(edges)
     while seen[0]:
-        e = both(edges)
-        low = materialise(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        e, n = both(edges), seen[0]
+        low = write(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), n)
         large = tidy(e.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.where("m < a").select("a", F.col("m").alias("b"))))
-        large, old = materialise(large), [edges, low]
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
+        large, old = write(large, n), [edges, low]
+        low = write(large.groupBy("a").agg(F.min("b").alias("m")), n)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
-        edges = materialise(tidy(small))
+        edges = write(tidy(small), n)
         discard(*old, large, low)
         now = stamp(edges)
         if now == seen:

@@ -2,14 +2,17 @@
 
 Texts are sets of hashed shingles. Texts that agree on one of BANDS bands
 of ROWS min-hashes meet in a bucket; a pair at similarity 0.8 misses all of them
-with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. In a bucket all texts
-are first compared with one of them; then, in rounds with ever more of them, texts
-of different components are, until each such pair has been. A pair links when the
-Jaccard similarity of its whole sets is high enough.
+with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. At first each text
+is compared with one member of the largest component that it meets in a bucket; then, in
+rounds with ever more members, texts of different components are, until each such pair
+has been. A pair links when the Jaccard similarity of its whole sets is high enough.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -22,6 +25,10 @@ from labelq.llm.common import connected_components, discard, materialise, maybe_
 BANDS, ROWS = 32, 5
 #: Shingles that are permuted at once: BANDS * ROWS columns of them stay in a core's cache.
 CHUNK = 256
+#: Words of a set's parity sketch.
+MARKS = 8
+#: Pairs that are verified in one cell on average, and rounds at first of one pair for each text.
+CELL, STARS = 4096, 1
 _draw = np.random.default_rng(42)
 _TURN, _FOLD = (_draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 _BAND = _draw.integers(0, 1 << 63, BANDS, np.uint64)
@@ -55,6 +62,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 64 * MARKS hashed classes: sets that differ in n
+    shingles differ in n bits at most."""
+    odd = np.bincount((shingles >> np.uint64(64 - 6 - MARKS.bit_length() + 1)).astype(int), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets; 1 for two empty ones."""
     if not len(a) or not len(b):
@@ -64,20 +78,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are ``least`` similar."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("ids").alias(f"{c}_ids"))
+    """Of the materialised pairs (a, b) those whose sets are ``least`` similar.
 
-    def check(batches):
-        for p in batches:
-            ok = []
-            for x, y in zip(p.a_ids, p.b_ids):
-                few, many = sorted((len(x), len(y)))
-                alike = few >= least * many and similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least
-                ok.append(alike)
-            yield p.loc[np.array(ok, bool), ["a", "b"]]
+    Pairs are dealt to the cells of a square, CELL of them each on average, by the hashes of both
+    nodes, so that a cell is sent each set once, however many of its pairs hold it."""
+    side = max(1, math.ceil(math.sqrt(pairs.count() / CELL)))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    pairs = pairs.select((at("a") * side + at("b")).cast("int").alias("cell"), "a", "b")
+    sent = pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct().join(sets, "node")
+    sent = sent.select((F.col("cell") + 0).alias("cell"), "node", "ids")  # a column of its own, for the sake of cogroup()
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "a_ids", "b_ids").mapInPandas(check, "a long, b long")
+    def check(pairs: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        ids = {n: np.frombuffer(x, np.uint64) for n, x in zip(sent.node, sent.ids)}
+        ok = []
+        for a, b in zip(pairs.a, pairs.b):
+            few, many = sorted((len(ids[a]), len(ids[b])))
+            ok.append(few >= least * many and similarity(ids[a], ids[b]) >= least)
+        return pairs.loc[np.array(ok, bool), ["a", "b"]]
+
+    return pairs.groupBy("cell").cogroup(sent.groupBy("cell")).applyInPandas(check, "a long, b long")
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -96,43 +115,47 @@ def links(nodes: DataFrame, texts: DataFrame, first: DataFrame, words: int, leas
     """(node, root) of the nodes that have a link, the root being the smallest node of the
     component.
 
-    nodes: (node, holder, bands), the holder being the document (doc_id, key) whose text the
-    node's set comes from; texts: (doc_id, key, text); first: pairs (a, b) to be verified
+    nodes: (node, holder, bands, marks, size), the holder being the document (doc_id, key) whose
+    text the node's set comes from, marks its parity sketch and size its number of shingles; texts: (doc_id, key, text); first: pairs (a, b) to be verified
     before any others. A hot bucket is not worked off by pairs: once its texts are connected
     with each other, no pair within a component is looked at."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     met = nodes.select("node", F.explode("bands").alias("k"))
-    shared = met.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
-    buckets = materialise(met.join(shared, "k"))
-    few = materialise(buckets.select("node").union(first.select("a")).union(first.select("b")).distinct())
+    shared = met.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    member = met.join(shared, "k").groupBy("node").agg(F.collect_list("k").alias("ks"))  # BANDS at most
+    member = materialise(member.join(nodes.select("node", "marks", "size"), "node"))
+    few = materialise(member.select("node").union(first.select("a")).union(first.select("b")).distinct())
     sets = _sets(nodes.join(maybe_broadcast(few, few.count(), 16), "node", "left_semi"), texts, words)
-
-    found = materialise(_verified(first, sets, least))
-    roots = materialise(connected_components(found))
-    # each text with the first one of its buckets, unless the two are connected already
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    pairs = buckets.where("node <> rep").select("node", "rep").distinct().join(root_of("node"), "node", "left").join(root_of("rep"), "rep", "left")
-    pairs = pairs.where(F.coalesce("node_root", "node") != F.coalesce("rep_root", "rep")).select(*ordered("node", "rep")).distinct()
-    tested = materialise(pairs.join(first, ["a", "b"], "left_anti"))
-    found = materialise(found.union(_verified(tested, sets, least)))
-    tested = materialise(tested.union(first))
+    tested, found = first, materialise(_verified(first, sets, least))
     roots = materialise(connected_components(found))
-    reps = 4
-    while True:
-        own = buckets.where("n > 2").join(roots, "node", "left").select("k", "n", "node", F.coalesce("root", "node").alias("root"))
-        parts = own.groupBy("k", "root").agg(F.count("*").alias("size"))
-        parts = parts.groupBy("k").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        own = materialise(own.join(parts.select("k", F.col("most.root").alias("main")), "k"))  # buckets of several components
+    for turn in count():
+        # buckets of several components, the largest of them, and a member of that
+        own = member.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "marks", F.col("size").alias("shingles"), F.explode("ks").alias("k"))
+        parts = own.groupBy("k", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("one"))
+        per = parts.groupBy("k").agg(F.max(F.struct("size", "root", "one")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        per = per.select("k", "n", F.col("most.size").alias("size"), F.col("most.root").alias("main"), F.col("most.one.node").alias("rep"))
+        own = materialise(own.join(per, "k"))
         most = own.agg(F.max("n")).first()[0]
         if most is None:
             break
-        # texts of the largest component meet no others of it: one side has the rest only
-        rest = own.where("root <> main").select("k", "n", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(reps)), F.col("n")) < reps  # noqa: E731, B023
-        by_all = rest.drop("n").join(own.where(drawn("node")), "k").where("root <> other_root")
-        by_rest = rest.where(drawn("other")).drop("n").join(own.where("root = main"), "k")
-        cols = ordered("node", "other")
-        pairs = materialise(by_all.select(*cols).union(by_rest.select(*cols)).distinct().join(tested, ["a", "b"], "left_anti"))
+        rest = own.where("root <> main")
+        reps = 16 ** max(0, 2 * (turn - STARS) + 1)
+        if turn < STARS:  # each text with a member of the largest component that it meets
+            star = rest.groupBy("node").agg(F.max(F.struct("size", "rep")).alias("to")).select("node", F.col("to.rep").alias("rep"))
+            pairs = star.select(*ordered("node", "rep"))
+        else:  # texts of the largest component meet no others of it: one side has the rest only
+            rest = rest.select(F.col("k").alias("of"), "n", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("marks").alias("other_marks"),
+                               F.col("shingles").alias("other_shingles"))
+            drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(reps)), F.col("n")) < reps  # noqa: E731, B023
+            both = F.col("shingles") + F.col("other_shingles")
+            differ = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("other_marks")[i])) for i in range(MARKS))
+            # the join returns only pairs that sizes and sketches cannot rule out
+            meet = (F.col("of") == F.col("k")) & (F.col("root") != F.col("other_root")) & (differ <= F.floor(both * ((1 - least) / (1 + least)) + 1e-6)) & (
+                F.least("shingles", "other_shingles") >= F.greatest("shingles", "other_shingles") * least - 1e-6)
+            by_all = rest.drop("n").join(own.where(drawn("node")), meet)
+            by_rest = rest.where(drawn("other")).drop("n").join(own.where("root = main"), meet)
+            pairs = by_all.select(*ordered("node", "other")).union(by_rest.select(*ordered("node", "other")))
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         new = materialise(_verified(pairs, sets, least))
         old = [tested, own, pairs]
         tested = materialise(tested.union(pairs))
@@ -141,7 +164,6 @@ def links(nodes: DataFrame, texts: DataFrame, first: DataFrame, words: int, leas
             found = materialise(found.union(new))
             roots = materialise(connected_components(found))
         discard(*old)
-        if reps >= most:
+        if turn >= STARS and reps >= most:
             break
-        reps *= 16
     return roots

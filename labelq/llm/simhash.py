@@ -257,11 +257,12 @@ def near_texts(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5
             sets = [np.unique(h) for h in hashes]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "node": node, "fp": fp, "bands": [shingles.band_keys(s).view(np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "node": node, "fp": fp, "bands": [shingles.band_keys(s).view(np.int64) for s in sets],
+                                "marks": [shingles.parity(s) for s in sets], "size": [len(s) for s in sets]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialise(texts.select("doc_id", "key", "text").mapInPandas(signed, f"doc_id {kind}, key long, node long, fp long, bands array<long>"))
-    nodes = materialise(rows.groupBy("node").agg(_first().alias("holder"), F.first("bands").alias("bands")))
+    rows = materialise(texts.select("doc_id", "key", "text").mapInPandas(signed, f"doc_id {kind}, key long, node long, fp long, bands array<long>, marks array<long>, size long"))
+    nodes = materialise(rows.groupBy("node").agg(_first().alias("holder"), *(F.first(c).alias(c) for c in ("bands", "marks", "size"))))
     # texts that share a fingerprint, and those whose fingerprints the tree links
     held = rows.select("fp", "node").distinct()
     prints = materialise(held.groupBy("fp").agg(F.min("node").alias("rep")))

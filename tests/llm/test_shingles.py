@@ -76,3 +76,18 @@ def test_awkward_tables(spark):
     twice = [row(None, "a b c d e f"), row(1, "a b c d e f"), row(1, "other words stand here now")]
     kept = S.one_of_each(frame(spark, twice), find=S.near_texts).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (1, "other words stand here now")]
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 30, 400):
+        a = rng.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate((a[n // 5:], rng.integers(0, 2 ** 63, n // 5, dtype=np.uint64) * np.uint64(2)))
+        bits = sum(int(x).bit_count() for x in (H.parity(a) ^ H.parity(b)).view(np.uint64))
+        assert len(H.parity(a)) == H.MARKS and bits <= len(np.setxor1d(a, b))
+
+
+def test_many_pairs_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(H, "CELL", 5)
+    rows = copies(4)
+    assert components(spark, rows) == brute([r[:2] for r in rows])
