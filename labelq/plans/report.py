@@ -109,6 +109,15 @@ def guarded(spark, make) -> DataFrame:
         return spark.range(1).select(F.lit(f"skipped: {type(e).__name__}: {e}"[:500]).alias("status"))
 
 
+def attempted(compute) -> dict:
+    """What ``compute`` finds, or the reason why it found nothing; run to the end, so that
+    failures of the jobs themselves are caught too."""
+    try:
+        return compute()
+    except Exception as e:  # one part of a report never fails the rest
+        return {"status": f"skipped: {type(e).__name__}: {e}"[:500]}
+
+
 def annotation_quality(section: Section, markers: DataFrame | None = None, sample_col: str | None = None, k: int = 30, subsample: int = 5000, seed: int = 0, compute_aqi: bool = True, **inputs) -> dict[str, DataFrame]:
     """The whole battery: internal_validity, marker_fidelity, inter_sample_consistency and aqi."""
     spark = section.cells.sparkSession

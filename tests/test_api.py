@@ -46,4 +46,14 @@ def test_validity_by_name(spark):
     assert api.internal_validity(s, k=5)["status"] == "ok" and api.avg_bio(s, "truth")["ari"] == pytest.approx(1)
     assert api.inter_sample_consistency(section(spark, np.ones((4, 2)), ["a"] * 4, sample=["s", "t"] * 2), "sample")["status"].startswith("skipped")
     out = api.annotation_quality(s, None, "sample", k=5)
-    assert out["aqi"]["aqi"] is None and set(out["inter_sample_consistency"]) == {None, "T0", "T1", "T2"}
+    assert out["aqi"]["aqi"] is None and out["inter_sample_consistency"] == api.inter_sample_consistency(s, "sample")
+    assert set(out["inter_sample_consistency"]["per_type"]) == {"T0", "T1", "T2"}
+
+
+def test_a_part_that_fails_is_told(spark):
+    s = section(spark, np.ones((4, 2)), ["a", "b"] * 2)
+    out = api.annotation_quality(s, {"a": ["g0"]}, "no such column", k=1)
+    assert out["inter_sample_consistency"]["status"].startswith("skipped: ") and "mean_auc" in out["marker_fidelity"]
+    bad = s.cells.selectExpr("cell_id", "label", "raise_error('broken') as cell_area")
+    q = api.run_signal_qc(type(s)(bad, s.genes, s.counts))
+    assert set(q) == {"sparsity", "detection_entropy", "signal_to_noise", "tx_per_area"} and "broken" in q["tx_per_area"]["status"]
