@@ -9,8 +9,7 @@ pair meets in one leaf. A leaf searches its own tree over whole fingerprints, pr
 by the triangle inequality, and returns a spanning forest of its links, not all pairs.
 
 Why blocks: distances of whole fingerprints crowd around 32 of 64, and a ball of 4 bits
-crosses most boundaries; a ball of one bit in 21 crosses fewer, and copies of a
-fingerprint are bounded by the 22 neighbours that a block has.
+crosses most boundaries; a ball of one bit in 21 crosses fewer, so copies grow more slowly.
 
 near_texts() goes on from there to all texts at a similarity of their shingles: the
 links are verified, and a second pass finds pairs whose fingerprints lie further apart.
