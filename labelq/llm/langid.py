@@ -193,7 +193,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
 
 
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, and row with all columns of ``docs``.
+    """One row per document: doc_id, held_out, lang_pred, score, chance (the score of a guess,
+    one over the number of learned languages; 1 without any), and row with all columns of ``docs``.
 
     Learns from rows with a language whose crc32(id as text) mod 4 is not 2. A
     null text, or one without a letter, is ``und`` with score 0; a null id is not
@@ -202,14 +203,16 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang")
     spark = docs.sparkSession
     small_batches(spark)
     d = _named(docs, id_col, text_col, lang_col)
-    model = spark.sparkContext.broadcast(train(d.where("not held_out").select("doc_id", "text", "lang")))
+    learned = train(d.where("not held_out").select("doc_id", "text", "lang"))
+    model = spark.sparkContext.broadcast(learned)
+    chance = F.lit(1.0 / max(1, len(learned.languages))).alias("chance")
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return d.withColumn("found", predict("text")).select("doc_id", "held_out", "found.lang_pred", "found.score", "row")
+    return d.withColumn("found", predict("text")).select("doc_id", "held_out", "found.lang_pred", "found.score", chance, "row")
 
 
 def op3_language_id(spark, sf_dir):
-    return identify(table(spark, sf_dir, "documents")).drop("row")
+    return identify(table(spark, sf_dir, "documents")).drop("chance", "row")

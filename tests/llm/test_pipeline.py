@@ -57,6 +57,20 @@ def test_each_stage_on_its_own_input(spark, sf):
     assert abs(sum(r.taken for r in after.values()) - total) < 0.02 * total
 
 
+def test_languages_that_no_row_teaches_go(spark):
+    """On a table whose calibration rows the model does not get all right. Where it does, as on
+    tables of a few hundred rows, it is sure of any text with letters and the stage keeps them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    foreign = ["Сегодня утром мы идём по мокрому саду, а над рекой ещё стоит туман и молчат птицы.", "今日は天気がいいですね。公園へ行きましょう",
+               "Kissa nukkuu tuolilla kun sade putoaa vanhan talon katolle ja lapset lukevat", "12 34 56 a 78 90 -- 44 b 22"]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    every = docs.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in P.language_id(spark, every, "").select("doc_id").collect()}
+    assert not any(i < 0 for i in kept)
+    told = {r.doc_id for r in docs.collect() if len(G.ngrams(r.text)[0])}
+    assert kept == told
+
+
 def test_run_is_all_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, f in P.STAGES:
