@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from labelq.llm import common, decontam, langid, lines, mixing, simhash
 
-#: Confidence below which a document has no language that can be told.
-LEAST_SCORE = 0.3
+#: Share of the way from a guess among the learned languages to certainty that a score has to go;
+#: below it a document has no language that can be told. With four languages the bound is 0.4375.
+CONFIDENCE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is told: neither ``und`` nor below LEAST_SCORE."""
+    """Keep documents whose language is told: neither ``und`` nor nearer to a guess than CONFIDENCE."""
     found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    told = F.col("score") >= F.col("chance") + CONFIDENCE * (1 - F.col("chance"))
+    return found.where((F.col("lang_pred") != langid.UND) & told).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
