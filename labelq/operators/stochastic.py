@@ -6,10 +6,8 @@ partitionings give the same rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -21,18 +19,16 @@ from labelq.sources.section import Section, labels
 
 def thin(counts: DataFrame, keep: DataFrame, seed: int = 0) -> DataFrame:
     """(cell_id, gene, value): each unit of a whole count stays with the cell's probability;
-    keep: (cell_id, keep). Counts are truncated to whole numbers; probability 1 leaves them so."""
-    kinds = counts.schema["cell_id"].dataType.simpleString()
-
-    def draw(batches):
-        for b in batches:
-            out = np.empty(len(b))
-            for k, (cell, gene, value, p) in enumerate(zip(b.cell_id, b.gene, b.value, b.keep)):
-                n = int(value)
-                out[k] = n if p >= 1 else np.random.default_rng([seed & 0xFFFFFFFF, zlib.crc32(str(cell).encode()), zlib.crc32(str(gene).encode())]).binomial(n, max(0.0, p))
-            yield b[["cell_id", "gene"]].assign(value=out)[out != 0]
-
-    return counts.select("cell_id", "gene", "value").join(keep.select("cell_id", F.col("keep").cast("double").alias("keep")), "cell_id").mapInPandas(draw, f"cell_id {kinds}, gene string, value double")
+    keep: (cell_id, keep). Counts are truncated to whole numbers; probability 1 leaves them so.
+
+    Unit i stays if the first 32 bits of md5('seed:cell:gene:i') are below the probability."""
+    x = counts.join(keep.select("cell_id", F.col("keep").cast("double").alias("keep")), "cell_id")
+    least = F.lpad(F.lower(F.hex(F.floor(F.greatest(F.col("keep"), F.lit(0.0)) * 2.0 ** 32))), 8, "0")
+    x = x.select("cell_id", "gene", "keep", F.col("value").cast("long").alias("n"), least.alias("least"), F.concat(F.lit(f"{seed}:"), F.col("cell_id").cast("string"), F.lit(":"), "gene", F.lit(":")).alias("unit"))
+    stays = lambda i: F.substring(F.md5(F.concat("unit", i.cast("string"))), 1, 8) < F.col("least")
+    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0).cast("long"), lambda sum_, i: sum_ + stays(i).cast("long"))
+    value = F.when(F.col("keep") >= 1, F.col("n")).when(F.col("n") > 0, drawn).otherwise(0)
+    return x.select("cell_id", "gene", value.cast("double").alias("value")).where("value <> 0")
 
 
 def label_stability(section: Section, annotate: Callable[[Section], DataFrame], drop_frac: float = 0.2, reps: int = 5, seed: int = 0) -> DataFrame:

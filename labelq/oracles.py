@@ -189,14 +189,22 @@ nm as (select cells.cell_id, coalesce(sum(case when low.gene is not null then va
     left join low on low.label = cells.label and low.gene = counts.gene where cells.cell_id % 2 = 1 group by all)"""
 
 _NCP = """,
-topg as (select gene, row_number() over (order by gene_idx) - 1 as i from (select gene, gene_idx, coalesce(sum(value) filter (cell_id % 2 = 0), 0) as s from genes left join counts using (gene) group by all order by s desc, gene_idx limit 20)),
+topg as (select gene, row_number() over (order by gene_idx) - 1 as i from (select gene, gene_idx, coalesce(sum(value) filter (cell_id % 2 = 0), 0) as s from genes left join counts using (gene) group by all order by s desc, gene_idx limit 400)),
 hit as (select cell_id, cell_id % 2 as half, i from counts join topg using (gene) where value > 0),
 one as (select half, i, count(*) as n from hit group by all),
 co as (select a.half, a.i, b.i as j, count(*) as n from hit a join hit b on a.cell_id = b.cell_id and a.i < b.i group by all),
 rate as (select x.half, x.i, y.i as j, coalesce(co.n, 0) as b, x.n + y.n - coalesce(co.n, 0) as e from one x join one y on x.half = y.half and x.i < y.i left join co on co.half = x.half and co.i = x.i and co.j = y.i),
-apart as (select i, j from rate where half = 0 and e > 0 and b <= 0.12::double * e order by i, j limit 100),
+apart as (select i, j from rate where half = 0 and e > 0 and b <= 0.12::double * e order by i, j limit 2000),
 res as (select count(*) as n_pairs, avg(case when e is null or e = 0 or b <= 0.12::double * e then 1.0::double else 0 end) as ncp from apart left join (select * from rate where half = 1) using (i, j))"""
 
+_STABLE = """,
+units as (select r, cell_id, gene, unnest(range(1, cast(trunc(value) as bigint) + 1)) as i from counts cross join (select unnest(range(5)) as r) where gene in (select gene from panel)),
+thinned as (select r, cell_id, gene, count(*) as value from units where md5(concat(r, ':', cell_id, ':', gene, ':', i))[1:8] < format('{:08x}', cast(floor(0.8::double * 4294967296) as bigint)) group by all),
+calls as (select r, cell_id, arg_min(set_name, struct_pack(x := -load, y := set_name)) as label from (
+    select r, cell_id, set_name, sum(value) as load from thinned join panel using (gene) group by all union all select -1, cell_id, set_name, load from loads) group by all),
+every as (select r, cell_id, coalesce(calls.label, 'none') as label from cells cross join (select unnest(range(-1, 5)) as r) left join calls using (r, cell_id)),
+stable as (select cell_id, 1 - count(*) filter (x.label <> y.label) / 5.0::double as label_stability from every x join every y using (cell_id) where x.r >= 0 and y.r = -1 group by all)"""
+
 _ISC = """,
 prof as (select label, sample, gene_idx, coalesce(sum(value), 0) / max(k) as x from (select label, coalesce(cast(sample as varchar), 'nan') as sample, cell_id, count(*) over (partition by label, sample) as k from cells) cross join genes left join counts using (cell_id, gene) group by all),
 vecs as (select label, sample, list(x order by gene_idx) as v from prof group by all),
@@ -279,6 +287,7 @@ ORACLES: dict[str, str] = {
         whole as (select list(x order by i) as w from (select i, avg(v[i]) as x from (select v, unnest(range(1, len(v) + 1)) as i from p) group by i))
         select {_r('davies_bouldin', 'calinski_harabasz')} from (select avg(worst) as davies_bouldin from (select x.label, max((x.s + y.s) / list_distance(x.c, y.c)) as worst from spread x, spread y where x.label <> y.label group by x.label)),
         (select b * (nn - k) / (wi * (k - 1)) as calinski_harabasz from (select sum(n * list_distance(c, w) ** 2) as b, count(*) as k, sum(n) as nn from spread, whole), (select sum(d * d) as wi from own))""",
+    "label_stability": _section(f"{_STABLE} select cell_id, {_r('label_stability')} from stable"),
     "inter_sample_consistency": _section(f"{_ISC} select label, {_r('consistency')}, n_profiles from isc"),
     "avg_bio": f"""with {POINTS}, c as (select label as truth, cast(cast(label as integer) % 5 as varchar) as pred, count(*) as n from p group by all), m as (select *, sum(n) over (partition by truth) as a, sum(n) over (partition by pred) as b, sum(n) over () as t from c),
         info as (select sum(n / cast(t as double) * ln(n * cast(t as double) / (cast(a as double) * b))) as mi, -sum(n / cast(t as double) * ln(cast(a as double) / t)) as hu, -sum(n / cast(t as double) * ln(cast(b as double) / t)) as hv from m)

@@ -86,7 +86,7 @@ def nmp(spark, d):
 
 
 def ncp(spark, d):
-    return rounded(mk.ncp(s.section(spark, d, 1), s.section(spark, d, 0), threshold=0.12, max_genes=20, max_pairs=100))
+    return rounded(mk.ncp(s.section(spark, d, 1), s.section(spark, d, 0), threshold=0.12))
 
 
 def coverage(spark, d):
@@ -140,7 +140,7 @@ def sanity(spark, d):
 
 def sanity_permuted(spark, d):
     x = s.spatial_section(spark, d)
-    return rounded(sp.neighborhood_sanity(sp.nhood_permuted(x.cells, x.edges, 100)))
+    return rounded(sp.neighborhood_sanity(sp.nhood_permuted(x.cells, x.edges)))
 
 
 def consistency(spark, d):
@@ -231,7 +231,7 @@ def annotate_by_markers(x: Section) -> DataFrame:
 
 
 def label_stability(spark, d):
-    return rounded(st.label_stability(s.section(spark, d), annotate_by_markers, reps=3))
+    return rounded(st.label_stability(s.section(spark, d), annotate_by_markers))
 
 
 def flagship(spark, d):

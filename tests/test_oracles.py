@@ -18,6 +18,4 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf_dir, name):
-    if name in {"panel_resolvability", "panel_tiers"}:
-        pytest.skip("covered by test_stochastic")
     assert QUERIES[name](spark, sf_dir).count() > 0

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 from fixtures import MARKERS, lineages, section
 
@@ -17,6 +19,17 @@ def test_thinning_is_repeatable_and_fair(spark):
     assert 76 < np.mean([r[2] for r in a]) < 84
 
 
+def test_thinning_draws_each_unit_by_its_digest(spark):
+    rows = [("a", "g", 7.0), ("a", "h", 2.9), ("b", "g", 0.4), ("b", "h", 0.0), ("c", "g", 12.0), ("d", "g", 5.0), ("e", "g", -3.0), ("f", "g", None)]
+    p = {"a": 0.5, "b": 0.5, "c": 1.0, "d": 0.0, "e": 0.5, "f": 0.5}
+    got = st.thin(spark.createDataFrame(rows, "cell_id string, gene string, value double"), spark.createDataFrame([*p.items()], "cell_id string, keep double"), 3)
+    want = {}
+    for cell, gene, value in rows:
+        units = [int(hashlib.md5(f"3:{cell}:{gene}:{i}".encode()).hexdigest()[:8], 16) / 2 ** 32 for i in range(1, int(value or 0) + 1)]
+        want[cell, gene] = float(sum(p[cell] >= 1 or u < p[cell] for u in units))
+    assert {(r.cell_id, r.gene): r.value for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
 def annotate(sets):
     def run(s: Section):
         loads = mk.set_loads(s.counts, mk.on_panel(sets, s.genes))
