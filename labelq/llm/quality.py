@@ -2,29 +2,31 @@
 
 Two views of a document, its text and its page metadata, have a classifier each.
 In every round each labels the documents of a fresh pool that it is surest of,
-for the other one to learn from. Both are then calibrated on labelled rows that
-neither has seen, and the calibrated views are combined to score all documents.
+for the other one to learn from; the pools are all documents without a label, dealt
+to the rounds by a hash. Both are then calibrated on labelled rows that neither has
+seen, and the calibrated views are combined to score all documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import maybe_broadcast, materialise, small_batches, table
+from labelq.llm.common import discard, materialise, small_batches, table
 
 BITS = 14
 DIM = 1 << BITS
 #: Shares and ratios of a text that stand beside its hashed character n-grams.
 STATS = 12
 META = 1 << 12
-#: Bounds of the rows that training reads: labelled documents, of which a fifth calibrate, and
-#: documents of the pool of each round. Pseudo-labels that a view gives in a round.
-LABELLED, POOL, ROUNDS, GIVEN = 8000, 2500, 4, 200
+#: Bound of the labelled documents that training reads, of which a fifth calibrate; rounds, and
+#: pseudo-labels that a view gives in one.
+LABELLED, ROUNDS, GIVEN = 8000, 4, 200
 _A, _B, _C, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 CHUNK = 1 << 20
 #: Combined probability below which a document goes: the odds that it is bad are four to one.
@@ -111,90 +113,174 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge=1.0) -> np.ndarray:
     return w
 
 
-def co_train(views: tuple[list, list], y: np.ndarray, pools: tuple[list, list], rounds: int = ROUNDS, given: int = GIVEN):
-    """Weights of both views, a scale and shift that calibrate each, and of the combination.
+DIMS = (DIM + STATS, META)
+
+
+def turn_of(doc_id, rounds: int):
+    """The round whose pool a document without a label is in."""
+    return F.pmod(F.xxhash64(F.lit(6), doc_id), F.lit(max(1, rounds)))
 
-    views: features of the labelled rows in each view, pools: of unlabelled ones."""
-    dims = (DIM + STATS, META)
+
+def begin(views: tuple[list, list], y: np.ndarray):
+    """Which labelled rows are held for calibration, and what each view learns from at first."""
     held = np.arange(len(y)) % 5 == 4
-    sets = [([v[k] for k in np.flatnonzero(~held)], list(y[~held]), [1.0] * int((~held).sum())) for v in views]
+    return held, [([v[k] for k in np.flatnonzero(~held)], list(y[~held]), [1.0] * int((~held).sum())) for v in views]
+
+
+def shares(rate: float, given: int) -> tuple[int, int]:
+    """Good and bad documents that a view names in a round; good ones are ``rate`` of all."""
+    return round(given * rate), max(1, round(given * (1 - rate)))
+
+
+def taught(sets, view: int, row, label: float) -> None:
+    """A pseudo-label counts half."""
+    for column, value in zip(sets[view], (row, label, 0.5)):
+        column.append(value)
+
+
+def calibrate(views: tuple[list, list], y: np.ndarray, held: np.ndarray, weights):
+    """A scale and shift that calibrate each view, and the weights of their combination."""
+    if not held.any() or not 0 < y[held].mean() < 1:
+        return [np.array([1.0, 0.0])] * 2, np.array([1.0, 1.0, 0.0])
+    raw = [logits([views[v][k] for k in np.flatnonzero(held)], weights[v]) for v in (0, 1)]
+    ones = np.ones(held.sum())
+    scales = [_newton(np.stack((r, ones), 1), y[held]) for r in raw]
+    both = _newton(np.stack([np.clip(s[0] * r + s[1], -8, 8) for s, r in zip(scales, raw)] + [ones], 1), y[held])
+    return scales, both
+
+
+def co_train(views: tuple[list, list], y: np.ndarray, pools: tuple[list, list], rounds: int = ROUNDS, given: int = GIVEN, turn: np.ndarray | None = None):
+    """Weights of both views, a scale and shift that calibrate each, and of the combination.
+
+    views: features of the labelled rows in each view, pools: of unlabelled ones, all in
+    memory; turn: the round of each unlabelled row, else pools are equal slices."""
+    held, sets = begin(views, y)
     rate = float(np.mean(y[~held])) if (~held).any() else 0.5
-    size = -(-len(pools[0]) // max(1, rounds))
+    if turn is None:
+        turn = np.arange(len(pools[0])) // max(1, -(-len(pools[0]) // max(1, rounds)))
     for r in range(rounds):
-        pool = [p[r * size:(r + 1) * size] for p in pools]
-        if not len(pool[0]) or not 0 < rate < 1:
+        mine = np.flatnonzero(turn == r)
+        if not 0 < rate < 1:
             break
         chosen = []
         for v in (0, 1):
-            score = logits(pool[v], fit(*sets[v], dims[v]))
+            score = logits([pools[v][k] for k in mine], fit(*sets[v], DIMS[v])) if len(mine) else np.zeros(0)
             order = np.argsort(score, kind="stable")
-            good, bad = round(given * rate), max(1, round(given * (1 - rate)))
-            chosen.append([(k, 0.0) for k in order[:bad] if score[k] < 0] + [(k, 1.0) for k in order[::-1][:good] if score[k] > 0])
+            good, bad = shares(rate, given)
+            chosen.append([(mine[k], 0.0) for k in order[:bad] if score[k] < 0] + [(mine[k], 1.0) for k in order[::-1][:good] if score[k] > 0])
         for v in (0, 1):  # what one view is sure of teaches the other
             for k, label in chosen[1 - v]:
-                sets[v][0].append(pool[v][k])
-                sets[v][1].append(label)
-                sets[v][2].append(0.5)
-    weights = [fit(*sets[v], dims[v]) for v in (0, 1)]
-    if not held.any() or not 0 < y[held].mean() < 1:
-        return weights, [np.array([1.0, 0.0])] * 2, np.array([1.0, 1.0, 0.0])
-    raw = [logits([views[v][k] for k in np.flatnonzero(held)], weights[v]) for v in (0, 1)]
-    ones = np.ones(held.sum())
-    scales = [_newton(np.stack((r, ones), 1), y[held]) for r in raw]
-    both = _newton(np.stack([np.clip(s[0] * r + s[1], -8, 8) for s, r in zip(scales, raw)] + [ones], 1), y[held])
-    return weights, scales, both
+                taught(sets, v, pools[v][k], label)
+    weights = [fit(*sets[v], DIMS[v]) for v in (0, 1)]
+    return weights, *calibrate(views, y, held, weights)
+
+
+def _features(batches):
+    for b in batches:
+        t = [text_view(x) for x in b.text]
+        m = [meta_view(*x) for x in zip(b.source, b.lang, b.n_chars)]
+        yield pd.DataFrame({"id": b.doc_id.astype(str), "view": b.view, "label": b.label, "turn": b.turn, "place": b.place,
+                            "ta": [x[0].astype(np.int32) for x in t], "tx": [x[1].astype(np.float32) for x in t], "ma": [x[0].astype(np.int32) for x in m]})
+
+
+def _learn(batches):
+    """Weights from all rows: labelled ones (no view) and those that are to teach a view."""
+    parts = [*batches]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    rows = rows.assign(o=[zlib.crc32(i.encode()) for i in rows["id"]])
+    text = lambda x: [(a, v.astype(float)) for a, v in zip(x.ta, x.tx)]
+    meta = lambda x: [(a, np.full(len(a), 1 / np.sqrt(len(a)))) for a in x.ma]
+    known = rows[rows["view"] < 0].sort_values(["o", "id"])
+    y = known["label"].to_numpy(float)
+    share = float(y.mean()) if len(y) else 0.5
+    if not 0 < share < 1:
+        yield pd.DataFrame({"part": ["share"], "w": [np.array([share])]})
+        return
+    views = text(known), meta(known)
+    held, sets = begin(views, y)
+    for v, of in ((0, text), (1, meta)):
+        x = rows[rows["view"] == v].sort_values(["turn", "label", "place"])
+        for row, label in zip(of(x), x["label"]):
+            taught(sets, v, row, label)
+    weights = [fit(*sets[v], DIMS[v]) for v in (0, 1)]
+    scales, both = calibrate(views, y, held, weights)
+    rate = float(y[~held].mean()) if (~held).any() else 0.5
+    yield pd.DataFrame({"part": ["text", "meta", "text_scale", "meta_scale", "both", "rate"], "w": [*weights, *scales, both, np.array([rate])]})
+
 
+def _raw(m: dict, b: pd.DataFrame) -> list[np.ndarray]:
+    return [logits([text_view(x) for x in b.text], m["text"]), logits([meta_view(*x) for x in zip(b.source, b.lang, b.n_chars)], m["meta"])]
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", cut: float = CUT) -> DataFrame:
+
+def _surest(pool: DataFrame, good: int, bad: int) -> list[tuple]:
+    """(id, view to teach, label, place) of the documents that each view is surest of: bounded
+    heads of orders, ties by a digest of the id and the id itself."""
+    name = F.col("doc_id").cast("string")
+    digest = F.crc32(name.cast("binary"))
+    out = []
+    for view, score in ((1, "by_text"), (0, "by_meta")):
+        low = pool.where(F.col(score) < 0).orderBy(F.col(score), digest, name).limit(bad)
+        high = pool.where(F.col(score) > 0).orderBy(F.col(score).desc(), digest.desc(), name.desc()).limit(good)
+        for label, head in ((0.0, low), (1.0, high)):
+            out += [(r.doc_id, view, label, k) for k, r in enumerate(head.select("doc_id").collect())]
+    return out
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", cut: float = CUT, rounds: int = ROUNDS, given: int = GIVEN) -> DataFrame:
     """One row per document: doc_id, text_score, meta_score (calibrated probabilities of
     good quality from each view), score (combined) and keep (score >= cut).
 
-    Learns from at most LABELLED labelled documents and ROUNDS pools of POOL
-    others, in the order of a hash of the id; every document is scored on its whole
-    text. Null labels are ignored, and labels that disagree count by majority. A
-    null or empty text has no text features; null metadata is a value of its own.
-    Without labels of both classes all scores are the share of good ones, or 0.5
-    without any. Equal rows get equal scores; an empty table gives no rows."""
+    Learns from at most LABELLED labelled documents, in the order of a hash of the id, and
+    from ``given`` documents that each view is surest of in each of ``rounds`` pools;
+    all other documents are dealt to the pools by that hash, and every one is scored there
+    and again at the end, on its whole text. Null labels are ignored, and labels
+    that disagree count by majority. A null or empty text has no text features; null
+    metadata, and that of a table without source, lang or n_chars, is a value of its own.
+    Rows without an id are scored and teach nothing; of rows that share one the least
+    teaches. Without labels of both classes all scores are the share of good ones,
+    or 0.5 without any. Equal rows get equal scores; an empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("source").cast("string").alias("source"),
-                    F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
+    page = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), page("source", "string"), page("lang", "string"), page("n_chars", "double"))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("m_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
     ids = d.select("doc_id").distinct()
-    order = F.xxhash64(F.lit(6), "m_id")
-    known = marks.join(ids, marks.m_id == ids.doc_id, "left_semi").orderBy(order, "m_id").limit(LABELLED)
-    others = ids.select(F.col("doc_id").alias("m_id")).join(marks.select("m_id"), "m_id", "left_anti").orderBy(order, "m_id").limit(POOL * ROUNDS)
-    picked = materialise(known.select("m_id", "y").union(others.select("m_id", F.lit(None).cast("double"))))
-    sample = d.join(maybe_broadcast(picked, LABELLED + POOL * ROUNDS, 64), d.doc_id == picked.m_id)
-    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "n_chars", "y")).alias("one")).select("doc_id", "one.*")
-
-    def features(batches):
-        for b in batches:
-            t = [text_view(x) for x in b.text]
-            m = [meta_view(*x) for x in zip(b.source, b.lang, b.n_chars)]
-            yield pd.DataFrame({"id": b.doc_id.astype(str), "y": b.y, "ta": [x[0].astype(np.int32) for x in t], "tx": [x[1].astype(np.float32) for x in t], "ma": [x[0].astype(np.int32) for x in m]})
-
-    def learn(batches):
-        parts = [*batches]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        rows = rows.assign(o=[zlib.crc32(i.encode()) for i in rows["id"]]).sort_values(["o", "id"])
-        text = [(a, x.astype(float)) for a, x in zip(rows.ta, rows.tx)]
-        meta = [(a, np.full(len(a), 1 / np.sqrt(len(a)))) for a in rows.ma]
-        y = rows.y.to_numpy(float)
-        labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-        share = float(y[labelled].mean()) if len(labelled) else 0.5
-        if not 0 < share < 1:
-            yield pd.DataFrame({"part": ["share"], "w": [np.array([share])]})
-            return
-        take = lambda v, k: [v[i] for i in k]
-        w, s, both = co_train((take(text, labelled), take(meta, labelled)), y[labelled], (take(text, pool), take(meta, pool)))
-        yield pd.DataFrame({"part": ["text", "meta", "text_scale", "meta_scale", "both"], "w": [*w, *s, both]})
-
-    found = sample.mapInPandas(features, "id string, y double, ta array<int>, tx array<float>, ma array<int>").repartition(1).mapInPandas(learn, "part string, w array<double>").toPandas()
-    parts = {p: np.array(w) for p, w in zip(found.part, found.w)} or {"share": np.array([0.5])}
+    known = marks.join(ids, marks.m_id == ids.doc_id, "left_semi").orderBy(F.xxhash64(F.lit(6), "m_id"), "m_id").limit(LABELLED)
+
+    def featured(picked: DataFrame, turn: int) -> DataFrame:
+        """Features of the documents in ``picked`` (m_id, view, label, place), a bounded table."""
+        rows = d.join(F.broadcast(picked.select("m_id").distinct()), F.col("doc_id") == F.col("m_id")).groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("one"))
+        rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("m_id")).select("doc_id", "one.*", "view", "label", F.lit(turn).alias("turn"), "place")
+        return materialise(rows.mapInPandas(_features, "id string, view int, label double, turn int, place int, ta array<int>, tx array<float>, ma array<int>"))
+
+    def learned() -> dict:
+        rows = reduce(DataFrame.unionByName, lessons).repartition(1)
+        found = rows.mapInPandas(_learn, "part string, w array<double>").toPandas()
+        return {p: np.array(w) for p, w in zip(found.part, found.w)} or {"share": np.array([0.5])}
+
+    picked = materialise(known.select("m_id", F.lit(-1).alias("view"), F.col("y").alias("label"), F.lit(0).alias("place")))
+    lessons = [featured(picked, -1)]
+    parts = learned()
+    for r in range(rounds if "share" not in parts else 0):
+        model = spark.sparkContext.broadcast(parts)
+
+        def sure(batches, model=model):
+            for b in batches:
+                by_text, by_meta = _raw(model.value, b)
+                yield pd.DataFrame({"doc_id": b.doc_id, "by_text": by_text, "by_meta": by_meta})
+
+        mine = d.where(F.col("doc_id").isNotNull() & (turn_of(F.col("doc_id"), rounds) == r))
+        scored = mine.mapInPandas(sure, f"doc_id {kind}, by_text double, by_meta double").groupBy("doc_id").agg(F.min("by_text").alias("by_text"), F.min("by_meta").alias("by_meta"))
+        pool = materialise(scored.join(marks, scored.doc_id == marks.m_id, "left_anti"))
+        chosen = _surest(pool, *shares(float(parts["rate"][0]), given))
+        discard(pool)
+        if chosen:
+            lessons.append(featured(spark.createDataFrame(chosen, f"m_id {kind}, view int, label double, place int"), r))
+            parts = learned()
+    discard(picked, *lessons)
     model = spark.sparkContext.broadcast(parts)
 
     def score(batches):
@@ -203,8 +289,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
             if "share" in m:
                 p = np.full((3, len(b)), m["share"][0])
             else:
-                raw = [logits([text_view(x) for x in b.text], m["text"]), logits([meta_view(*x) for x in zip(b.source, b.lang, b.n_chars)], m["meta"])]
-                z = [np.clip(m[k][0] * r + m[k][1], -8, 8) for k, r in zip(("text_scale", "meta_scale"), raw)]
+                z = [np.clip(m[k][0] * r + m[k][1], -8, 8) for k, r in zip(("text_scale", "meta_scale"), _raw(m, b))]
                 z.append(m["both"][0] * z[0] + m["both"][1] * z[1] + m["both"][2])
                 p = 1 / (1 + np.exp(-np.array(z)))
             yield pd.DataFrame({"doc_id": b.doc_id, "text_score": p[0], "meta_score": p[1], "score": p[2], "keep": p[2] >= cut})
