@@ -7,6 +7,7 @@ Results that grow with the data stay DataFrames; dictionaries hold one entry a l
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,13 @@ def _mean(values) -> float | None:
     return sum(values) / len(values) if values else None
 
 
-def internal_validity(section: Section, k: int = 30, subsample: int = 2000, seed: int = 0) -> dict:
-    return _one(em.internal_validity(em.points_of(section), k, subsample, seed))
+def _embedded(section: Section, embedding: DataFrame | None) -> Section:
+    """The section with another embedding (cell_id, vec) in place of its own, if one is given."""
+    return section if embedding is None else replace(section, embeddings=embedding)
+
+
+def internal_validity(section: Section, k: int = 30, subsample: int = 2000, seed: int = 0, embedding: DataFrame | None = None) -> dict:
+    return _one(em.internal_validity(em.points_of(_embedded(section, embedding)), k, subsample, seed))
 
 
 def inter_sample_consistency(section: Section, sample_col: str, metric: str = "cosine") -> dict:
@@ -62,8 +68,8 @@ def marker_gene_overlap(section: Section, marker_sets, n_top: int = 25) -> dict:
     return {"per_type": per, "mean_overlap": _mean(v["overlap"] for v in per.values())}
 
 
-def avg_bio(section: Section, truth: str) -> dict:
-    return _one(em.avg_bio(section, truth))
+def avg_bio(section: Section, truth: str, embedding: DataFrame | None = None) -> dict:
+    return _one(em.avg_bio(_embedded(section, embedding), truth))
 
 
 def panel_resolvability(reference: Section, panel_genes: list[str] | DataFrame, target_depth: float = 50.0, **options) -> dict:
@@ -94,24 +100,50 @@ def deconvolution_metrics(props: DataFrame) -> dict:
     return _one(ag.deconvolution(props))
 
 
-def annotation_quality_index(section: Section, marker_sets=None, **inputs) -> dict:
+def _nested_index(row: dict, n_voters: int, has_markers: bool, has_reference: bool, cohort: dict | None, provenance: dict | None) -> dict:
+    """The index's flat row as terms, abstention, coverage, cohort, flags and provenance."""
+    if "aqi" not in row:
+        return row
+    by_markers = {c: row[c] for c in ("expected", "annotated_on_axis", "missing", "missing_frac")} if has_markers and row["missing_frac"] is not None else {}
+    by_reference = {"reference_abundant": row["reference_abundant"], "missing_vs_reference": row["missing_vs_reference"], "n_ref_types_abundant": len(row["reference_abundant"])} if has_reference else {}
+    flags = ("adequacy_unknown", "low_support", "abstention_available", "missing_lineages", "coverage_limited")
+    return {
+        **{c: row[c] for c in ("aqi", "aqi_core", "regime", "w_coh", "active_set", "argmin", "no_dict_frac")}, "n_ge50_types": row["n_big"],
+        "components": {**{c.upper(): row[c] for c in ("a", "c", "g", "m", "h")}, "completeness": row["completeness"]},
+        "abstention": {"signal": row["g"], "n_voters": n_voters, "available": row["abstention_available"]},
+        "coverage": {**by_markers, **by_reference} or None, "cohort": cohort,
+        "flags": {c: row[c] for c in flags} | {"missing_vs_reference": bool(row["missing_vs_reference"])},
+        "provenance": {**(provenance or {}), "n_voters": n_voters},
+    }
+
+
+def annotation_quality_index(section: Section, marker_sets=None, *, cohort: dict | None = None, provenance: dict | None = None, **inputs) -> dict:
+    """The index with its parts; ``cohort`` is what inter_sample_consistency() returns and is
+    reported as it is. Further inputs are those of labelq.plans.report.quality_index()."""
     sets = _sets(section, marker_sets) if marker_sets else None
-    return _one(report.quality_index(section, sets, **inputs))
+    voters = [v for v in inputs.get("voters", ()) if v in section.cells.columns]
+    told = {c: cohort.get(c) for c in ("consistency", "per_type", "n_profiles")} if cohort and "consistency" in cohort else None
+    row = _one(report.quality_index(section, sets, **inputs))
+    return _nested_index(row, len(voters), sets is not None, inputs.get("reference") is not None, told, provenance)
 
 
 def annotation_quality(section: Section, marker_sets=None, sample_col: str | None = None, k: int = 30, subsample: int = 5000, seed: int = 0,
-                       compute_aqi: bool = True, **inputs) -> dict:
+                       compute_aqi: bool = True, embedding: DataFrame | None = None, provenance: dict | None = None, **inputs) -> dict:
     """The whole battery, each part in the shape that its own function gives it, or with a
-    status where it cannot be computed."""
-    parts = {"internal_validity": lambda: internal_validity(section, k, subsample, seed)}
+    status where it cannot be computed. Cells and genes have to be listed once."""
+    section.check_keys()
+    parts = {"internal_validity": lambda: internal_validity(section, k, subsample, seed, embedding)}
     if marker_sets:
         parts["marker_fidelity"] = lambda: marker_program_fidelity(section, marker_sets)
     if sample_col is not None:
         parts["inter_sample_consistency"] = lambda: inter_sample_consistency(section, sample_col)
+    out = {name: report.attempted(compute) for name, compute in parts.items()}
     if compute_aqi:
-        whole = {"k": k, "subsample": subsample, "seed": seed, **inputs}
-        parts["aqi"] = lambda: _one(report.annotation_quality(section, _sets(section, marker_sets) if marker_sets else None, sample_col, **whole)["aqi"])
-    return {name: report.attempted(compute) for name, compute in parts.items()}
+        whole = out["internal_validity"].get("integrated")
+        known = section.cells.sparkSession.range(1).select(F.lit(whole).cast("double").alias("integrated"))
+        stamp = {"reference": inputs.get("reference") is not None, "median_depth": inputs.get("median_depth"), **(provenance or {})}
+        out["aqi"] = report.attempted(lambda: annotation_quality_index(section, marker_sets, validity=known, cohort=out.get("inter_sample_consistency"), provenance=stamp, **inputs))
+    return out
 
 
 def conformal_prediction_sets(proba_query: DataFrame, proba_cal: DataFrame, truth_cal: DataFrame, alpha: float = 0.1, class_conditional: bool = False, hierarchy=None, truth_query: DataFrame | None = None) -> dict:
@@ -180,19 +212,20 @@ def neighborhood_sanity(section: Section, n_neighs: int = 6, n_perms: int | None
             "suspicious": [{"type": r.label, "stronger_with": r.stronger_with, "self_z": r.self_z, "cross_z": r.cross_z} for r in rows if r.suspicious]}
 
 
-def per_cell_confidence(section: Section, marker_sets) -> tuple[dict, Section]:
+def per_cell_confidence(section: Section, marker_sets, layer: str | None = None) -> tuple[dict, Section]:
     sets = _sets(section, marker_sets)
-    cells = mk.marker_confidence(section, sets)
+    cells = mk.marker_confidence(section.of_layer(layer), sets)
     n = mk.on_panel(sets, section.genes).select("set_name").distinct().count()
     return _one(cells.agg(F.avg("marker_margin").alias("mean_margin"), F.avg("marker_entropy").alias("mean_entropy"))) | {"n_sets": n}, section.with_columns(cells)
 
 
-def label_stability(section: Section, annotate: Callable[[Section], DataFrame], drop_frac: float = 0.2, reps: int = 5, seed: int = 0) -> tuple[dict, Section]:
-    cells = st.label_stability(section, annotate, drop_frac, reps, seed)
+def label_stability(section: Section, annotate: Callable[[Section], DataFrame], drop_frac: float = 0.2, reps: int = 5, seed: int = 0, layer: str | None = None) -> tuple[dict, Section]:
+    cells = st.label_stability(section.of_layer(layer), annotate, drop_frac, reps, seed)
     return {"mean_flip_rate": cells.agg(F.avg(1 - F.col("label_stability"))).first()[0], "reps": reps, "drop_frac": drop_frac}, section.with_columns(cells)
 
 
-def moran_signal(section: Section, n_neighs: int = 6, genes: list[str] | None = None) -> dict:
+def moran_signal(section: Section, n_neighs: int = 6, genes: list[str] | None = None, n_perms: int | None = None, seed: int = 0) -> dict:
+    """``n_perms`` and ``seed`` concern p-values, which are no part of the result, and change nothing."""
     per = sp.moran_genes(section, _edges(section, n_neighs))
     return _one(sp.moran_signal(per.where(F.col("gene").isin(genes)) if genes is not None else per))
 
@@ -234,6 +267,7 @@ SIGNAL_PARTS = {
 def run_signal_qc(section: Section, do_moran: bool = True) -> dict:
     """The signal report: one entry for each part that the section can tell something about.
     A part that fails, be it at planning or at run time, is one with a status. Places are
-    needed for ``moran``, which is otherwise left out."""
+    needed for ``moran``, which is otherwise left out. Cells and genes have to be listed once."""
+    section.check_keys()
     due = {name: part for name, part in SIGNAL_PARTS.items() if (do_moran or name != "moran") and part[0](section) is None}
     return {name: report.attempted(lambda: compute(section)) for name, (_, compute) in due.items()}  # noqa: B023

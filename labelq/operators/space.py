@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelq.functions.ranks import quantiles
 from labelq.functions.scalar import share
 from labelq.operators.plane import nearest_in_plane
 from labelq.sources.section import Section, labels
@@ -115,11 +114,13 @@ def moran_genes(section: Section, edges: DataFrame) -> DataFrame:
 
 def moran_signal(genes: DataFrame) -> DataFrame:
     """One row: medians of genes and controls, separation, and the share of genes above the
-    controls' 95th percentile; NULLs without controls."""
-    genes = genes.persist()
-    q = quantiles(genes, ["control"], "moran", {"m": 0.5, "p": 0.95})
-    head = q.agg(F.max(F.when(~F.col("control"), F.col("m"))).alias("median_gene_moran"), F.max(F.when(F.col("control"), F.col("m"))).alias("median_control_moran"), F.max(F.when(F.col("control"), F.col("p"))).alias("p95"))
-    above = genes.crossJoin(F.broadcast(head)).agg(  # one row
-        F.sum((~F.col("control")).cast("long")).alias("n_genes"), F.sum(F.col("control").cast("long")).alias("n_controls"),
-        F.avg(F.when(~F.col("control") & F.col("moran").isNotNull(), (F.col("moran") > F.col("p95")).cast("double"))).alias("frac_genes_above_control_p95"))
-    return head.crossJoin(above).select("median_gene_moran", "median_control_moran", "n_genes", "n_controls", (F.col("median_gene_moran") - F.col("median_control_moran")).alias("separation"), "frac_genes_above_control_p95")
+    controls' 95th percentile; NULLs without controls.
+
+    One aggregation: the table has a row a gene, so its exact percentiles and its values fit in
+    one buffer, and the plan below it, which grows with the cells, is run once."""
+    of = lambda c: F.when(F.col("control"), F.col("moran")) if c else F.when(~F.col("control"), F.col("moran"))
+    t = genes.agg(F.percentile(of(False), F.lit(0.5)).alias("median_gene_moran"), F.percentile(of(True), F.lit(0.5)).alias("median_control_moran"), F.percentile(of(True), F.lit(0.95)).alias("p95"),
+                  F.sum((~F.col("control")).cast("long")).alias("n_genes"), F.sum(F.col("control").cast("long")).alias("n_controls"), F.collect_list(of(False)).alias("own"))
+    above = F.size(F.filter("own", lambda v: v > F.col("p95"))).cast("double")
+    return t.select("median_gene_moran", "median_control_moran", "n_genes", "n_controls", (F.col("median_gene_moran") - F.col("median_control_moran")).alias("separation"),
+                    F.when(F.col("p95").isNotNull(), F.try_divide(above, F.size("own"))).alias("frac_genes_above_control_p95"))

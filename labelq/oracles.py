@@ -224,6 +224,27 @@ select """ + _r("aqi", "aqi_core") + """, 'with_agreement' as regime, """ + _r("
     true as adequacy_unknown, false as low_support, true as abstention_available, miss <> '' as missing_lineages, false as coverage_limited
 from (select *, aqi_core as aqi from core), (select coalesce(string_agg(set_name, ',' order by set_name) filter (missing), '') as miss, max(missing_frac) as missing_frac from cov)"""
 
+_AQI_FULL = """,
+bigl as (select label, count(*) as n from cells where label <> '5-LOW' group by label having count(*) >= 50),
+term_c as (select least(greatest(least(avg(m), any_value(kept)), 0), 1) as c from (select label, quantile_cont(pmp, 0.5) as m from pmp where label in (select label from bigl) group by label),
+    (select count(pmp) / cast(count(*) as double) as kept from pmp where label in (select label from bigl))),
+term_m as (select least(greatest(2 * (avg(auc) - 0.5), 0), 1) as m from fid where set_name in (select label from bigl)),
+term_g as (select avg(b) as g from (select label, avg(((m1 = label)::int + (m2 = label)::int + (m3 = label)::int) / 3.0::double) as b from cells where label in (select label from bigl) group by label)),
+term_a as (select (0.204::double - 1 / 5.0::double) / (1 - 1 / 5.0::double) as a, 0.4::double as h, 0.85::double + 0.15::double * 0.4::double as w_coh),
+core as (select *, least(greatest(pow((pow(least(greatest(c, 0.01), 1), -4) + pow(least(greatest(m, 0.01), 1), -4)) / 2, -0.25), 0), 1) as aqi_core from term_c, term_m, term_g, term_a),
+rl as (select label as ref_label, count(*) / cast(sum(count(*)) over () as double) as share, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as r from cells where cell_id % 2 = 0 group by label),
+ol as (select distinct regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as l from cells where label <> '5-LOW'),
+rc as (select ref_label, exists (select 1 from ol where r = l or (length(r) >= 4 and (contains(l, r) or contains(r, l)))) as present from rl where share >= 0.03)
+select """ + _r("aqi", "aqi_core") + """, 'with_agreement' as regime, """ + _r("a", "c", "g", "m", "h") + """, round(least(typed / 0.9::double, 1), 6) + 0.0 as completeness, """ + _r("w_coh") + """, 'C,M,A' as active_set,
+    case when a < aqi_core then 'panel/depth ceiling' when least(greatest(m, 0.01), 1) < least(greatest(c, 0.01), 1) then 'marker fidelity' else 'contamination' end as argmin, (select count(*) from bigl) as n_big, 0.0::double as no_dict_frac,
+    expected, annotated_on_axis, miss as missing, """ + _r("missing_frac") + """, reference_abundant, missing_vs_reference, false as adequacy_unknown, false as low_support, true as abstention_available,
+    miss <> '' as missing_lineages, false as coverage_limited, """ + _r("cohort_consistency") + """, cohort_profiles
+from (select *, w_coh * least(aqi_core, a) as aqi from core), (select count(*) filter (label <> '5-LOW') / cast(count(*) as double) as typed from cells),
+    (select coalesce(string_agg(set_name, ',' order by set_name) filter (expected), '') as expected, coalesce(string_agg(set_name, ',' order by set_name) filter (annotated), '') as annotated_on_axis,
+        coalesce(string_agg(set_name, ',' order by set_name) filter (missing), '') as miss, max(missing_frac) as missing_frac from cov),
+    (select coalesce(string_agg(ref_label, ',' order by ref_label), '') as reference_abundant, coalesce(string_agg(ref_label, ',' order by ref_label) filter (not present), '') as missing_vs_reference from rc),
+    (select consistency as cohort_consistency, n_profiles as cohort_profiles from isc where label is null)"""
+
 _REF = """,
 rl as (select label as ref_label, count(*) / cast(sum(count(*)) over () as double) as share, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as r from cells where cell_id % 2 = 0 group by label),
 ol as (select distinct regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as l from cells where cell_id % 2 = 1 and label <> '2-HIGH')
@@ -297,5 +318,6 @@ ORACLES: dict[str, str] = {
     "conformal_summary": _conformal(False) + f""" select {_r('mean_set_size', 'pct_singleton', 'pct_ambiguous', 'pct_empty_novel', 'pct_ambiguous_one_parent', 'coverage')} from (select avg(set_size) as mean_set_size, avg((set_size = 1)::int) as pct_singleton, avg((set_size > 1)::int) as pct_ambiguous,
         avg((set_size = 0)::int) as pct_empty_novel, count(*) filter (set_size > 1 and parents = 1) / cast(greatest(1, count(*) filter (set_size > 1)) as double) as pct_ambiguous_one_parent, avg(hit::int) as coverage from sets)""",
     "conformal_coverage": _conformal(False) + f" select label, count(*) as n, round(avg(hit::int), 6) + 0.0 as coverage from sets group by label",
+    "aqi_full": _section(FIDELITY + PMP + _COVERAGE.replace("{used}", "label <> '5-LOW'") + _ISC + _AQI_FULL),
     "aqi": _section(FIDELITY + PMP + _COVERAGE.replace("{used}", "true") + _AQI),
 }

@@ -34,13 +34,16 @@ def agreement_term(section: Section, voters: list[str], big: DataFrame) -> DataF
 
 
 def quality_index(section: Section, markers: DataFrame | None, validity: DataFrame | None = None, reference: Section | None = None, panel_genes: DataFrame | None = None,
-                  median_depth: float | None = None, voters: list[str] = (), abstained: list[str] = (), cohort: DataFrame | None = None, min_type_n: int = 50, p_softmin: float = -4.0) -> DataFrame:
+                  median_depth: float | None = None, voters: list[str] = (), abstained: list[str] = (), cohort: DataFrame | None = None, min_type_n: int = 50, p_softmin: float = -4.0,
+                  resolvability: DataFrame | None = None) -> DataFrame:
     """One row: aqi, aqi_core, regime, the terms a, c, g, m, h, completeness, w_coh, active_set,
     argmin, n_big, no_dict_frac, coverage lists and flags.
 
     The core is a soft minimum of purity (c) and marker fidelity (m), capped by what the panel
     can resolve at the section's depth (a) and scaled down by at most 15 % for incoherence (h).
-    Agreement of voters (g), coverage and the cohort are reported and not scored."""
+    Agreement of voters (g), coverage and the cohort are reported and not scored.
+    resolvability: the summary of panel_resolvability(), where it is at hand; else it is computed
+    from the reference and the panel's genes."""
     spark = section.cells.sparkSession
     null = lambda name: spark.range(1).select(F.lit(None).cast("double").alias(name))
     unknown = F.col("label").isin(list(abstained)) if abstained else F.lit(False)
@@ -50,8 +53,10 @@ def quality_index(section: Section, markers: DataFrame | None, validity: DataFra
 
     resolv = null("frac_resolvable")
     a = null("a")
-    if reference is not None and panel_genes is not None:
-        head, _ = stochastic.panel_resolvability(reference, panel_genes, median_depth or 50.0)
+    if resolvability is None and reference is not None and panel_genes is not None:
+        resolvability, _ = stochastic.panel_resolvability(reference, panel_genes, median_depth or 50.0)
+    if resolvability is not None:
+        head = resolvability
         if "macro_f1" in head.columns:
             a = head.select(F.when(F.col("n_types") >= 2, clip((F.col("macro_f1") - 1 / F.col("n_types")) / (1 - 1 / F.col("n_types")))).alias("a"))
             resolv = head.select("frac_resolvable")
@@ -70,15 +75,17 @@ def quality_index(section: Section, markers: DataFrame | None, validity: DataFra
         known = mk.on_panel(markers, section.genes).select(F.col("set_name").alias("label")).distinct()
         t = t.crossJoin(big.join(known, "label", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dictless")))
         cover = mk.lineage_coverage(section, markers, unknown if abstained else None)
-        t = t.crossJoin(cover.agg(F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("set_name")))).alias("missing"), F.max("missing_frac").alias("missing_frac")))
+        t = t.crossJoin(cover.agg(F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("set_name")))).alias("missing"), F.max("missing_frac").alias("missing_frac"),
+                                  F.sort_array(F.collect_list(F.when(F.col("expected"), F.col("set_name")))).alias("expected"), F.sort_array(F.collect_list(F.when(F.col("annotated"), F.col("set_name")))).alias("annotated_on_axis")))
     else:
-        t = t.select("*", F.lit(None).cast("long").alias("dictless"), F.array().cast("array<string>").alias("missing"), F.lit(None).cast("double").alias("missing_frac"))
+        t = t.select("*", F.lit(None).cast("long").alias("dictless"), F.array().cast("array<string>").alias("missing"), F.lit(None).cast("double").alias("missing_frac"),
+                     *(F.array().cast("array<string>").alias(c) for c in ("expected", "annotated_on_axis")))
     lost = F.array().cast("array<string>")
     if reference is not None:
         ref = mk.reference_coverage(section.cells, reference.cells, abstained=unknown if abstained else None)
-        t = t.crossJoin(ref.agg(F.sort_array(F.collect_list(F.when(~F.col("present"), F.col("ref_label")))).alias("missing_vs_reference")))
+        t = t.crossJoin(ref.agg(F.sort_array(F.collect_list(F.when(~F.col("present"), F.col("ref_label")))).alias("missing_vs_reference"), F.sort_array(F.collect_list("ref_label")).alias("reference_abundant")))
     else:
-        t = t.withColumn("missing_vs_reference", lost)
+        t = t.withColumns({"missing_vs_reference": lost, "reference_abundant": lost})
 
     C, M, A = F.col("c"), F.col("m"), F.col("a")
     unit = lambda x: clip(x, 0.01, 1.0)
@@ -94,7 +101,7 @@ def quality_index(section: Section, markers: DataFrame | None, validity: DataFra
     no_dict = F.when(F.col("big_cells") > 0, F.round(F.col("dictless") / F.col("big_cells"), 3))
     out = t.select("aqi", "aqi_core", F.when(F.col("g").isNotNull(), "with_agreement").otherwise("index_only").alias("regime"), "a", "c", "g", "m", "h",
                    clip(F.coalesce(share(F.col("typed"), F.when(F.col("frac_resolvable") > 0, F.col("frac_resolvable"))), F.col("typed"))).alias("completeness"), "w_coh", names_of.alias("active_set"), argmin.alias("argmin"), "n_big",
-                   no_dict.alias("no_dict_frac"), "missing", "missing_frac", "missing_vs_reference", A.isNull().alias("adequacy_unknown"), (F.col("n_big") < 2).alias("low_support"), F.col("g").isNotNull().alias("abstention_available"),
+                   no_dict.alias("no_dict_frac"), "expected", "annotated_on_axis", "missing", "missing_frac", "reference_abundant", "missing_vs_reference", A.isNull().alias("adequacy_unknown"), (F.col("n_big") < 2).alias("low_support"), F.col("g").isNotNull().alias("abstention_available"),
                    (F.size("missing") > 0).alias("missing_lineages"), F.coalesce(no_dict > 0.5, F.lit(False)).alias("coverage_limited"))
     if cohort is not None:
         out = out.crossJoin(cohort.where("label is null").agg(F.max("consistency").alias("cohort_consistency"), F.max("n_profiles").alias("cohort_profiles")))

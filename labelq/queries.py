@@ -190,7 +190,17 @@ def aqi(spark, d):
     t = report.quality_index(s.section(spark, d), s.markers(spark), voters=["m1", "m2", "m3"])
     lists = {"active_set", "missing", "missing_vs_reference"}
     t = t.select(*(F.concat_ws(",", c).alias(c) if c in lists else F.col(c) for c in t.columns))
-    return rounded(t.drop("a", "h", "missing_vs_reference"))
+    return rounded(t.drop("a", "h", "missing_vs_reference", "expected", "annotated_on_axis", "reference_abundant"))
+
+
+def aqi_full(spark, d):
+    """The index with every input: the last priority means 'unknown', the reference is one half of
+    the orders, samples are a cohort; coherence and what the panel resolves are given figures."""
+    x = s.section(spark, d)
+    coherent = spark.range(1).select(F.lit(0.4).alias("integrated"))
+    resolved = spark.range(1).select(F.lit(0.204).alias("macro_f1"), F.lit(5).alias("n_types"), F.lit(0.9).alias("frac_resolvable"))
+    t = report.quality_index(x, s.markers(spark), coherent, s.section(spark, d, 0), voters=["m1", "m2", "m3"], abstained=["5-LOW"], cohort=em.inter_sample_consistency(x), resolvability=resolved)
+    return rounded(t.select(*(F.concat_ws(",", c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in t.dtypes)))
 
 
 def signal_report(spark, d):
@@ -253,5 +263,5 @@ QUERIES = {
     "nhood_counts": nhood_counts, "nhood_expected": nhood_expected, "neighborhood_sanity": sanity, "neighborhood_sanity_permuted": sanity_permuted,
     "neighborhood_purity": _points(em.neighborhood_purity), "orbital_medoid": _points(em.orbital_medoid), "avg_similarity": _points(em.avg_similarity), "silhouettes": _points(em.silhouettes), "scatter_indices": _points(em.scatter_indices),
     "inter_sample_consistency": consistency, "avg_bio": avg_bio, "conformal_sets": conformal_sets, "conformal_class_conditional": conformal_conditional, "conformal_summary": conformal_summary, "conformal_coverage": conformal_coverage,
-    "aqi": aqi, "ward_propmatch": ward, "internal_validity": validity, "pca_fallback": pca, "panel_resolvability": panel_summary, "panel_tiers": panel_tiers, "label_stability": label_stability,
+    "aqi": aqi, "aqi_full": aqi_full, "ward_propmatch": ward, "internal_validity": validity, "pca_fallback": pca, "panel_resolvability": panel_summary, "panel_tiers": panel_tiers, "label_stability": label_stability,
 }

@@ -7,7 +7,7 @@ and neighbour edges (src, dst, weight). Zeros are implied by cells x genes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +24,29 @@ class Section:
     raw: DataFrame | None = None          #: raw counts, when ``counts`` is not raw
     embeddings: DataFrame | None = None
     edges: DataFrame | None = None
+    layers: dict[str, DataFrame] = field(default_factory=dict)  #: further counts by name
 
     def __post_init__(self):
         for part, need in _NEED.items():
             df = getattr(self, part)
             if df is not None and (lack := need - set(df.columns)):
                 raise ValueError(f"{part} lacks {sorted(lack)}")
+        for name, df in self.layers.items():
+            if lack := _NEED["counts"] - set(df.columns):
+                raise ValueError(f"layer {name} lacks {sorted(lack)}")
 
     @property
     def raw_or_counts(self) -> DataFrame:
         return self.counts if self.raw is None else self.raw
 
+    def of_layer(self, name: str | None) -> "Section":
+        """The section whose counts, raw ones too, are those of a layer; None: as it is."""
+        if name is None:
+            return self
+        if name not in self.layers:
+            raise ValueError(f"no layer {name!r}; there are {sorted(self.layers)}")
+        return replace(self, counts=self.layers[name], raw=None)
+
     def check_keys(self) -> None:
         """Raise if a cell or a gene is listed twice (one aggregation each)."""
         for df, key in ((self.cells, "cell_id"), (self.genes, "gene")):
