@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelq.functions.permute import Relabelling
 from labelq.functions.scalar import share
 from labelq.operators.plane import nearest_in_plane
 from labelq.sources.section import Section, labels
 
+#: Cells of a bucket in which relabelling numbers them; cells a task counts the edges of, at least if
+#: there are cores for more tasks and at most, on average.
+SLOTS, TASK_LEAST, TASK_MOST = 1 << 11, 1 << 11, 1 << 16
+#: Edges that a task relabels at once, and counts that it holds then.
+EDGES, TALLIES = 1 << 18, 1 << 20
+
 
 def knn_edges(cells: DataFrame, k: int, x: str = "x", y: str = "y") -> DataFrame:
     """(src, dst, weight): directed edges of weight 1 to the k nearest other cells, ties by id."""
@@ -69,19 +78,71 @@ def nhood_enrichment(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return t.select("a", "b", "n", "mean", "sd", F.try_divide(F.col("n") - F.col("mean"), F.col("sd")).alias("z"))
 
 
+def _numbered(cells: DataFrame, n: int) -> DataFrame:
+    """(cell_id, slot): the cells numbered from 0 to n - 1, in the order of a hash's bucket and the id."""
+    p = cells.select("cell_id", F.pmod(F.xxhash64("cell_id"), F.lit(n // SLOTS + 1)).alias("bucket"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row a bucket
+    base = p.groupBy("bucket").agg(F.count("*").alias("rows")).select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("cell_id")) - 1
+    return p.withColumn("place", place).join(base, "bucket").select("cell_id", (F.col("base") + F.col("place")).alias("slot"))
+
+
+def _edge_counts(src: np.ndarray, dst: np.ndarray, deal: Relabelling, names: list[str], reps: int, seed: int):
+    """Frames (a, b, first, counts): edges between two labels in the repetitions from ``first`` on."""
+    k = len(names)
+    points, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    points, src, dst = deal.split(points), ends[: len(src)], ends[len(src) :]
+    at_once = max(1, min(reps, TALLIES // (k * k)))
+    for first in range(0, reps, at_once):
+        tallies = []
+        for rep in range(first, min(reps, first + at_once)):
+            label = deal.of_points(points, seed, rep)
+            pair = label.take(src) * k + label.take(dst)
+            tallies.append(np.bincount(pair, minlength=k * k) if k * k <= TALLIES else np.unique(pair, return_counts=True))
+        if k * k <= TALLIES:
+            counts = np.stack(tallies, axis=1)
+            pairs = np.flatnonzero(counts.any(axis=1))
+            counts = counts[pairs]
+        else:
+            pairs, counts = tallies[0][0], tallies[0][1][:, None]
+        yield pd.DataFrame({"a": [names[p // k] for p in pairs], "b": [names[p % k] for p in pairs], "first": np.full(len(pairs), first, np.int32), "counts": [c.astype("<i8").tobytes() for c in counts]})
+
+
 def nhood_permuted(cells: DataFrame, edges: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
-    """As nhood_enrichment(), from ``reps`` random relabellings: the labels in the order of a hash."""
-    ranked = cells.select("cell_id", labels().alias("label"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    key = F.xxhash64(F.lit(seed), "rep", "cell_id")
-    w = Window.partitionBy("rep")
-    slots = ranked.select("rep", "cell_id", F.row_number().over(w.orderBy("cell_id")).alias("slot"))
-    names = ranked.select("rep", "label", F.row_number().over(w.orderBy(key, "cell_id")).alias("slot"))
-    mixed = slots.join(names, ["rep", "slot"]).select("rep", "cell_id", "label")
-    j = edges.join(mixed.select("rep", F.col("cell_id").alias("src"), F.col("label").alias("a")), "src").join(mixed.select("rep", F.col("cell_id").alias("dst"), F.col("label").alias("b")), ["rep", "dst"])
-    per = j.groupBy("rep", "a", "b").agg(F.count("*").cast("double").alias("k"))
-    m = per.groupBy("a", "b").agg((F.sum("k") / reps).alias("mean"), (F.sum(F.col("k") * F.col("k")) / reps).alias("sq"))
-    t = nhood_counts(cells, edges).join(m, ["a", "b"], "left").fillna(0.0, ["mean", "sq"])
-    t = t.withColumn("sd", F.sqrt(F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))))
+    """As nhood_enrichment(), from ``reps`` random relabellings, of which each deals all labels anew
+    to all cells. Loops and repeated edges count as often as they are there.
+
+    A relabelling is a function of the cell's number (functions/permute.py): a task works it out for
+    the ends of its own edges, so that no row is made for a cell or an edge and a repetition. What
+    tasks send on is, for each pair of labels, an array of counts. The labels' sizes go to the driver."""
+    sizes = sorted((r.label, r["count"]) for r in cells.groupBy(labels().alias("label")).count().collect())
+    names, n = [label for label, _ in sizes], sum(size for _, size in sizes)
+    deal = Relabelling([size for _, size in sizes])
+    slots = _numbered(cells, n)
+    ends = edges.select("src", "dst").join(slots.select(F.col("cell_id").alias("src"), F.col("slot").alias("s")), "src").join(slots.select(F.col("cell_id").alias("dst"), F.col("slot").alias("d")), "dst").select("s", "d")
+    tasks = max(n // TASK_MOST, min(n // TASK_LEAST, 2 * cells.sparkSession.sparkContext.defaultParallelism)) + 1
+
+    def count(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch.to_numpy())
+            rows += len(batch)
+            if rows >= EDGES:
+                yield from _edge_counts(*np.concatenate(held).T, deal, names, reps, seed)
+                held, rows = [], 0
+        if rows:
+            yield from _edge_counts(*np.concatenate(held).T, deal, names, reps, seed)
+
+    def moments(key, parts):
+        k = np.zeros(reps, np.int64)
+        for first, counts in zip(parts["first"], parts["counts"]):
+            found = np.frombuffer(counts, "<i8")
+            k[first : first + len(found)] += found
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "mean": [k.mean()], "sd": [k.std()]})
+
+    counts = ends.repartition(tasks, "s").mapInPandas(count, "a string, b string, first int, counts binary")
+    m = counts.groupBy("a", "b").applyInPandas(moments, "a string, b string, mean double, sd double")
+    t = nhood_counts(cells, edges).join(m, ["a", "b"], "left").fillna(0.0, ["mean", "sd"])
     return t.select("a", "b", "n", "mean", "sd", F.try_divide(F.col("n") - F.col("mean"), F.col("sd")).alias("z"))
 
 

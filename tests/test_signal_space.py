@@ -3,6 +3,7 @@ import pytest
 from dataclasses import replace
 from fixtures import section
 
+from labelq.functions import permute
 from labelq.functions.ranks import kth_smallest, quantiles
 from labelq.operators import signal as sg
 from labelq.operators import space as sp
@@ -85,3 +86,62 @@ def test_exact_null_agrees_with_permutations(spark):
     drawn = {(r.a, r.b): r for r in sp.nhood_permuted(s.cells, s.edges, 400).collect()}
     for k, r in exact.items():
         assert drawn[k].mean == pytest.approx(r["mean"], rel=0.1) and drawn[k].sd == pytest.approx(r["sd"], rel=0.25)
+
+
+@pytest.mark.parametrize("n", [1, 2, 700, 1025, 1681, 5000])
+def test_a_relabelling_deals_each_place_once(n):
+    every = permute.Relabelling([1] * n)
+    dealt = [every.of_points(every.split(np.arange(n)), 3, rep) for rep in (0, 1)]
+    assert all((np.sort(d) == np.arange(n)).all() for d in dealt) and (n < 3 or (dealt[0] != dealt[1]).any())
+    some = np.arange(n)[::7][::-1]
+    assert (every.of_points(every.split(some), 3, 0) == dealt[0][some]).all()
+    sizes = [n // 3, 0, n - n // 3]
+    few = permute.Relabelling(sizes)
+    assert np.bincount(few.of_points(few.split(np.arange(n)), 3, 0), minlength=3).tolist() == sizes
+
+
+def ring(spark, n, names="aaabbc"):
+    """n cells in a ring, each linked to the next three; labels in turn."""
+    cells = spark.range(n).selectExpr("id as cell_id", f"substring('{names}', cast(id % {len(names)} as int) + 1, 1) as label")
+    return cells, cells.selectExpr("cell_id as src", "explode(array(1, 2, 3)) as k").selectExpr("src", f"(src + k) % {n} as dst", "1.0D as weight")
+
+
+@pytest.mark.parametrize("n", [60, 1500])
+def test_relabellings_have_the_exact_moments(spark, n):
+    """Sixty cells are dealt by a drawn permutation, 1500 by the network."""
+    cells, edges = ring(spark, n)
+    exact = {(r.a, r.b): r for r in sp.nhood_enrichment(cells, edges).collect()}
+    drawn = {(r.a, r.b): r for r in sp.nhood_permuted(cells, edges, 4000, 1).collect()}
+    assert drawn.keys() == exact.keys() and len(exact) == 9
+    for k, r in exact.items():
+        assert abs(drawn[k]["mean"] - r["mean"]) < 4.5 * r.sd / 4000 ** 0.5 and drawn[k].sd == pytest.approx(r.sd, rel=0.06) and drawn[k].n == r.n
+
+
+def test_relabellings_do_not_hang_on_how_rows_lie(spark, monkeypatch):
+    cells, edges = ring(spark, 3000)
+    want = sorted(map(tuple, sp.nhood_permuted(cells, edges, 20).collect()))
+    monkeypatch.setattr(sp, "TASK_MOST", 300)
+    monkeypatch.setattr(sp, "EDGES", 500)
+    assert sorted(map(tuple, sp.nhood_permuted(cells.repartition(7), edges.repartition(5), 20).collect())) == want
+    for most in (9 * 3, 8):  # three repetitions at once; more pairs of labels than are held
+        monkeypatch.setattr(sp, "TALLIES", most)
+        assert sorted(map(tuple, sp.nhood_permuted(cells, edges, 20).collect())) == want
+    assert sorted(map(tuple, sp.nhood_permuted(cells, edges, 20, 1).collect())) != want
+
+
+def test_relabelling_of_nothing(spark):
+    cells, edges = ring(spark, 60)
+    assert sp.nhood_permuted(cells.limit(0), edges, 20).count() == 0
+    alone = sp.nhood_permuted(cells, edges.limit(0), 20).collect()
+    assert len(alone) == 9 and all((r.n, r["mean"], r.sd, r.z) == (0, 0, 0, None) for r in alone)
+
+
+def test_relabelling_sends_the_driver_no_rows_of_repetitions(spark):
+    """A row for each of 1000 cells and 1000 repetitions was broadcast, by the size of the cells. The limit is above
+    the 32 MB that a table of any size takes."""
+    cells, edges = ring(spark, 1000)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    try:
+        assert len(sp.nhood_permuted(cells, edges).collect()) == 9
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
