@@ -16,7 +16,7 @@ from labelq.sources.section import Section, labels
 #: there are cores for more tasks and at most, on average.
 SLOTS, TASK_LEAST, TASK_MOST = 1 << 11, 1 << 11, 1 << 16
 #: Edges that a task relabels at once, and counts that it holds then.
-EDGES, TALLIES = 1 << 18, 1 << 20
+EDGES, TALLIES = 1 << 19, 1 << 20
 
 
 def knn_edges(cells: DataFrame, k: int, x: str = "x", y: str = "y") -> DataFrame:
@@ -97,7 +97,9 @@ def _edge_counts(src: np.ndarray, dst: np.ndarray, deal: Relabelling, names: lis
         tallies = []
         for rep in range(first, min(reps, first + at_once)):
             label = deal.of_points(points, seed, rep)
-            pair = label.take(src) * k + label.take(dst)
+            pair = label.take(src).astype(np.int64)
+            pair *= k
+            pair += label.take(dst)
             tallies.append(np.bincount(pair, minlength=k * k) if k * k <= TALLIES else np.unique(pair, return_counts=True))
         if k * k <= TALLIES:
             counts = np.stack(tallies, axis=1)
